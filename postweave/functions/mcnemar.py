@@ -60,21 +60,19 @@ def _exact(b: int | None, c: int | None) -> float | None:
     return min(1.0, 2.0 * _binomial_cdf_half(min(b, c), b + c))
 
 
-@F.arrow_udf(T.DoubleType())
-def _tail_udf(chi2: pa.Array) -> pa.Array:
+def _tails(chi2: pa.Array) -> pa.Array:
     return pa.array([_upper_tail(x) for x in chi2.to_pylist()], pa.float64())
 
 
-@F.arrow_udf(T.DoubleType())
-def _exact_udf(b: pa.Array, c: pa.Array) -> pa.Array:
+def _exacts(b: pa.Array, c: pa.Array) -> pa.Array:
     return pa.array([_exact(*bc) for bc in zip(b.to_pylist(), c.to_pylist())], pa.float64())
 
 
 def chi_square_p(chi2: Column) -> Column:
     """Upper tail of chi-square with one degree of freedom."""
-    return _tail_udf(chi2)
+    return F.arrow_udf(_tails, T.DoubleType())(chi2)
 
 
 def exact_p(b: Column, c: Column) -> Column:
     """Two-sided exact p-value: b against a fair binomial of b + c trials."""
-    return _exact_udf(b.cast("long"), c.cast("long"))
+    return F.arrow_udf(_exacts, T.DoubleType())(b.cast("long"), c.cast("long"))

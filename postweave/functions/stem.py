@@ -137,12 +137,11 @@ def stem_word(word: str) -> str:
     return _final(_dropped(_further(_derived(word))))
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
 def _stem_lists(lists: pa.Array) -> pa.Array:
     """Stem the distinct tokens of a batch once and spread them back."""
     words = lists.flatten().dictionary_encode()
-    stems = pa.array([stem_word(w) for w in words.dictionary.to_pylist()], pa.string())
-    flat = stems.take(words.indices)
+    known = pa.array([stem_word(w) for w in words.dictionary.to_pylist()], pa.string())
+    flat = known.take(words.indices)
     sizes = pc.fill_null(pc.list_value_length(lists), 0)
     ends = pc.cumulative_sum(sizes.cast(pa.int32()))
     offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
@@ -152,4 +151,4 @@ def _stem_lists(lists: pa.Array) -> pa.Array:
 
 def stems(col: Column) -> Column:
     """Stem every token of an array, order and repeats kept; no shuffle."""
-    return _stem_lists(col)
+    return F.arrow_udf(_stem_lists, T.ArrayType(T.StringType()))(col)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postweave.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -14,7 +17,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
-        QUERIES[name] = run
+        @wraps(run)
+        def ready(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return run(spark, sf)
+
+        QUERIES[name] = ready
         if sql is not None:
             ORACLES[name] = sql
         return run
