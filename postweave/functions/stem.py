@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,22 +29,36 @@ FURTHER = {
     "icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": "",
 }
 # Suffix dropped when the stem before it has measure above 1.
-DROPPED = (
-    "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-).split()
+DROPPED = set(
+    "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+)
+
+
+class _Letters(dict):
+    """Letter to 'c' or 'v' for ``str.translate``, filled as letters turn up."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = "v" if chr(point) in "aeiou" else "c"
+        return self[point]
+
+
+_LETTERS = _Letters()
 
 
 def _shape(word: str) -> str:
     """'c' and 'v' per letter; y is a vowel after a consonant."""
+    if "y" not in word:
+        return word.translate(_LETTERS)
     out = ""
-    for i, ch in enumerate(word):
-        vowel = ch in "aeiou" or (ch == "y" and i > 0 and out[-1] == "c")
+    for ch in word:
+        vowel = ch in "aeiou" or (ch == "y" and out[-1:] == "c")
         out += "v" if vowel else "c"
     return out
 
 
 def _measure(word: str) -> int:
-    return len(re.findall("v+c", _shape(word)))
+    """Number of vowel runs followed by a consonant."""
+    return _shape(word).count("vc")
 
 
 def _short_end(word: str) -> bool:
@@ -58,8 +71,10 @@ def _double_end(word: str) -> bool:
 
 
 def _longest(word: str, suffixes) -> str | None:
-    found = [s for s in suffixes if word.endswith(s)]
-    return max(found, key=len) if found else None
+    for size in range(min(7, len(word)), 1, -1):
+        if word[-size:] in suffixes:
+            return word[-size:]
+    return None
 
 
 def _plural(word: str) -> str:

@@ -8,19 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postweave.operators.tag_graph import both_ways, vertices
-from postweave.session import stage
+from postweave.session import stage, stage_counting
 
 # (source, tag) pairs kept at a time; more sources run in further batches.
 STATE_ROWS = 2_000_000_000
 
 
-def _empty(df: DataFrame) -> bool:
-    return df.limit(1).count() == 0
-
-
 def _distances(sym: DataFrame, sources: DataFrame) -> DataFrame:
     """(s, v, d): shortest distance from every source to every reached tag."""
-    known = stage(sources.select("s", F.col("s").alias("v"), F.lit(0).cast("long").alias("d")), "dist")
+    own = F.lit(0).cast("long").alias("d")
+    known = stage(sources.select("s", F.col("s").alias("v"), own), "dist")
     front = known
     while True:
         tried = (
@@ -31,19 +28,17 @@ def _distances(sym: DataFrame, sources: DataFrame) -> DataFrame:
         )
         merged = known.join(tried, ["s", "v"], "full")
         closer = F.col("d").isNull() | (F.col("new") < F.col("d"))
-        known = stage(
-            merged.select(
-                "s",
-                "v",
-                F.least("d", "new").alias("d"),
-                F.coalesce(closer & F.col("new").isNotNull(), F.lit(False)).alias("moved"),
-            ),
-            "dist",
+        step = merged.select(
+            "s",
+            "v",
+            F.least("d", "new").alias("d"),
+            F.coalesce(closer & F.col("new").isNotNull(), F.lit(False)).alias("moved"),
         )
-        front = known.filter("moved").select("s", "v", "d")
-        known = known.select("s", "v", "d")
-        if _empty(front):
+        step, moved = stage_counting(step, "dist", F.col("moved"))
+        known = step.select("s", "v", "d")
+        if moved == 0:
             return known
+        front = step.filter("moved").select("s", "v", "d")
 
 
 def _path_edges(sym: DataFrame, dist: DataFrame) -> DataFrame:
@@ -59,8 +54,8 @@ def _hop_sums(start: DataFrame, edges: DataFrame, step, name: str) -> DataFrame:
     """Sum of x over all hops of x' = step(x, edges), the start included."""
     parts = [stage(start, name)]
     while True:
-        following = stage(step(parts[-1], edges), name)
-        if _empty(following):
+        following, found = stage_counting(step(parts[-1], edges), name, F.lit(True))
+        if found == 0:
             break
         parts.append(following)
     both = reduce(DataFrame.unionByName, parts)

@@ -9,15 +9,17 @@ All quantities compared are whole numbers, so a run is repeatable.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postweave.functions.text import tag_set
 from postweave.operators.ranking import hash_rank
 from postweave.operators.tag_graph import both_ways
-from postweave.session import broadcast_if_small, stage
+from postweave.session import broadcast_if_small, stage, stage_counting
 
-LEVELS = 3
+# Rounds of moves before settled communities are merged.
 ROUNDS = 8
 WHOLE = "decimal(38,0)"
 
@@ -27,61 +29,68 @@ def _may_move(vertex: Column, turn: int) -> Column:
 
 
 def _local_round(sym: DataFrame, state: DataFrame, total: int, turn: int) -> DataFrame:
-    """One round of moves over state (v, c, k): k is the weighted degree of v."""
+    """One round of moves over state (v, c, k); k is the weighted degree of v.
+
+    ``sym`` is (a, b, weight, k) with the degree of a. Links into each neighbouring
+    community are summed per vertex, then the best community is kept per vertex:
+    two combining shuffles of the links.
+    """
     where = state.select(F.col("v").alias("b"), "c")
     near = (
         sym.filter(F.col("a") != F.col("b"))
         .join(where, "b")
-        .select(F.col("a").alias("v"), "c", "weight")
+        .select(F.col("a").alias("v"), "k", "c", "weight", F.lit(False).alias("own"))
     )
     # The own community is always a choice, also without a link into it.
-    stay = state.select("v", "c", F.lit(0).cast("long").alias("weight"))
-    links = near.unionByName(stay).groupBy("v", "c").agg(F.sum("weight").alias("inside"))
+    zero = F.lit(0).cast("long").alias("weight")
+    stay = state.select("v", "k", "c", zero, F.lit(True).alias("own"))
+    links = near.unionByName(stay).groupBy("v", "k", "c").agg(
+        F.sum("weight").alias("inside"), F.bool_or("own").alias("own")
+    )
     sizes = state.groupBy("c").agg(F.sum("k").alias("c_degree"))
-    choices = links.join(
-        state.withColumnRenamed("c", "own"), "v"
-    ).join(sizes, "c")
-    others = F.col("c_degree") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)
+    others = F.col("c_degree") - F.when(F.col("own"), F.col("k")).otherwise(0)
     # Loss form: k * (degree of the others) - 2m * (links into the community).
     loss = F.col("k").cast("decimal(19,0)") * others.cast("decimal(19,0)") - F.col(
         "inside"
     ).cast("decimal(19,0)") * F.lit(total).cast("decimal(19,0)")
-    best = choices.withColumn("loss", loss.cast(WHOLE)).groupBy("v").agg(
+    choices = links.join(sizes, "c").withColumn("loss", loss.cast(WHOLE))
+    best = choices.groupBy("v", "k").agg(
         F.min(F.struct("loss", "c")).alias("best"),
-        F.min(F.when(F.col("c") == F.col("own"), F.col("loss"))).alias("own_loss"),
-        F.first("own").alias("own"),
-        F.first("k").alias("k"),
+        F.min(F.when(F.col("own"), F.struct("loss", "c"))).alias("own"),
     )
-    better = F.col("best.loss") < F.col("own_loss")
+    better = F.col("best.loss") < F.col("own.loss")
+    goes = better & _may_move(F.col("v"), turn)
     return best.select(
         "v",
-        F.when(better & _may_move(F.col("v"), turn), F.col("best.c"))
-        .otherwise(F.col("own"))
-        .alias("c"),
+        F.when(goes, F.col("best.c")).otherwise(F.col("own.c")).alias("c"),
         "k",
         better.alias("restless"),
     )
 
 
-def find_communities(edges: DataFrame, levels: int = LEVELS, rounds: int = ROUNDS) -> DataFrame:
+def find_communities(
+    edges: DataFrame, levels: int | None = None, rounds: int = ROUNDS
+) -> DataFrame:
     """(tag, label) for every vertex of (src, dst, weight); the label is a tag.
 
-    Each round is stored in the shared folder. Stopping early once no tag wants
-    to move gives the same result as running all rounds.
+    Merging goes on until a level moves nothing, or for ``levels`` levels. Each
+    round is stored in the shared folder. Stopping once no tag wants to move
+    gives the same result as running all rounds.
     """
     sym = stage(both_ways(edges), "graph")
     total = sym.agg(F.sum("weight")).first()[0] or 0
     member = None
-    for level in range(levels):
-        state = sym.groupBy(F.col("a").alias("v")).agg(F.sum("weight").alias("k"))
-        state = stage(state.select("v", F.col("v").alias("c"), "k"), "communities")
-        start = state
+    for level in count():
+        degree = sym.groupBy("a").agg(F.sum("weight").alias("k"))
+        state = stage(
+            degree.select(F.col("a").alias("v"), F.col("a").alias("c"), "k"), "communities"
+        )
+        links = stage(sym.join(state.select(F.col("v").alias("a"), "k"), "a"), "graph")
         for turn in range(rounds):
-            step = stage(
-                _local_round(sym, state, total, level * rounds + turn), "communities"
-            )
+            step = _local_round(links, state, total, level * rounds + turn)
+            step, restless = stage_counting(step, "communities", F.col("restless"))
             state = step.select("v", "c", "k")
-            if step.filter("restless").limit(1).count() == 0:
+            if restless == 0:
                 break
         moves = state.select("v", "c")
         if member is None:
@@ -93,7 +102,7 @@ def find_communities(edges: DataFrame, levels: int = LEVELS, rounds: int = ROUND
                 ),
                 "communities",
             )
-        if state is start or state.filter("v <> c").limit(1).count() == 0 or level == levels - 1:
+        if level + 1 == levels or state.filter("v <> c").limit(1).count() == 0:
             break
         left, right = moves.toDF("a", "ca"), moves.toDF("b", "cb")
         merged = sym.join(left, "a").join(right, "b").groupBy("ca", "cb")

@@ -73,7 +73,11 @@ def _round_sql(sym: str, before: str, after: str, turn: int) -> str:
       FROM {after}_all) WHERE rn = 1)"""
 
 
-def _communities_sql(edges: str, levels: int = co.LEVELS, rounds: int = co.ROUNDS) -> str:
+# Levels of merging in the registered queries; the SQL spells every round out.
+LEVELS = 3
+
+
+def _communities_sql(edges: str, levels: int = LEVELS, rounds: int = co.ROUNDS) -> str:
     """The local moves round by round; ends in members(tag, community)."""
     parts = [
         f"""sym0 AS MATERIALIZED (SELECT src AS a, dst AS b, weight AS w FROM {edges}
@@ -116,7 +120,7 @@ _COMMUNITIES = f"{_PAGES}, {_communities_sql('page_tags_edges')}"
 
 def page_members(spark, sf, edges=None):
     edges = stage(page_edges(spark, sf), "edges") if edges is None else edges
-    return co.membership(co.find_communities(edges))
+    return co.membership(co.find_communities(edges, LEVELS))
 
 
 @query("tag_communities", f"WITH {_COMMUNITIES} SELECT tag, community FROM members")

@@ -16,7 +16,7 @@ from postweave.operators.static_features import StaticFeature, static_features
 from postweave.plans.graph import page_tags
 from postweave.plans.prep import _POST_LABELS, label_boolean, post_folds
 from postweave.plans.registry import query
-from postweave.plans.views import LABELLED_SQL, SEED, labelled, posts, sample_sql, table
+from postweave.plans.views import LABELLED_SQL, SEED, labelled, posts, sample_sql, table, texts
 from postweave.session import scratch_path, stage
 from postweave.sources import store
 
@@ -178,7 +178,7 @@ def topn_per_group(spark, sf):
 
 
 def _topic_model(spark, sf):
-    rows = prepare_text(table(spark, sf, "documents"), "doc_id", ["text"])
+    rows = prepare_text(texts(spark, sf), "doc_id", ["text"])
     train = stage(rows.select("doc_id", "cleaned_text", "final_text"), "tokens")
     return train, tp.fit_topics(train, TOPICS, 2, 0.5, iterations=20, seed=SEED)
 

@@ -22,6 +22,7 @@ from postweave.plans.views import (
     posts,
     sample_sql,
     table,
+    texts,
     tagged,
 )
 from postweave.session import scratch_path, stage
@@ -100,7 +101,7 @@ _FREQUENT = "the and of to in der die und sch el los de la et les que".split() +
 )
 def phrase_flags(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id",
         tx.has_phrase(text, _FREQUENT).alias("frequent"),
         tx.has_phrase(text, ["the", "The", "."]).alias("few"),
@@ -121,7 +122,7 @@ def phrase_flags(spark, sf):
          coalesce(arousal, 0) AS arousal FROM documents LEFT JOIN sums USING (doc_id)""",
 )
 def lexicon_scores(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     words = docs.select(F.explode(tx.latin_words(F.col("text"))).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 10")
     lexicon = counts.select(
@@ -211,7 +212,7 @@ def text_clean(spark, sf):
         SELECT doc_id, len(w) AS n, array_to_string(w, ', ') AS final_text FROM words""",
 )
 def tokens_no_stop(spark, sf):
-    rows = di.prepare_text(table(spark, sf, "documents"), "doc_id", ["text"], stemming=False)
+    rows = di.prepare_text(texts(spark, sf), "doc_id", ["text"], stemming=False)
     return rows.select(
         "doc_id", F.size("final_text").alias("n"), F.array_join("final_text", ", ").alias("final_text")
     )
@@ -228,7 +229,7 @@ def token_list_parse(spark, sf):
 
 @query("stemmed_vocab")
 def stemmed_vocab(spark, sf):
-    rows = di.prepare_text(table(spark, sf, "documents"), "doc_id", ["text"])
+    rows = di.prepare_text(texts(spark, sf), "doc_id", ["text"])
     return di.document_frequency(rows)
 
 
@@ -295,7 +296,7 @@ def bow_counts(spark, sf):
     ids = train_ids.select("doc_id", F.lit(False).alias("held")).unionByName(
         valid_ids.select("doc_id", F.lit(True).alias("held"))
     )
-    docs = table(spark, sf, "documents").join(ids, "doc_id", "right")
+    docs = texts(spark, sf).join(ids, "doc_id", "right")
     rows = di.prepare_text(docs, "doc_id", ["text"], stemming=False, keep=("held",))
     rows = stage(rows.select("doc_id", "held", "final_text"), "tokens")
     terms = _dictionary(rows.filter(~F.col("held")))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postweave.session import widen
+
 SEED = 1982
 OUTER = 5
 INNER = 5
@@ -17,10 +19,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A text table, spread over the cores also where it is one small file."""
+    return widen(table(spark, sf, name))
+
+
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a nullable engagement count."""
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("engagement"))
-    return table(spark, sf, "documents").join(labels, "doc_id", "left")
+    return texts(spark, sf).join(labels, "doc_id", "left")
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,7 +35,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select(
         "doc_id", (F.col("quality") > 0).alias("label")
     )
-    return table(spark, sf, "documents").join(labels, "doc_id")
+    return texts(spark, sf).join(labels, "doc_id")
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +60,7 @@ def tagged(spark: SparkSession, sf: str) -> DataFrame:
 def page_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with the comma list of the words they link to."""
     links = F.regexp_extract_all("html", F.lit(r'<a href="/(\p{L}+)'), F.lit(1))
-    return table(spark, sf, "pages").select(
+    return texts(spark, sf, "pages").select(
         F.col("page_id").alias("id"),
         F.nullif(F.array_join(links, ", "), F.lit("")).alias("tags"),
     )

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Rows up to which a side may be broadcast once it has been counted.
@@ -60,10 +60,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage for iterative jobs, survives lost executors, and gives the
     optimizer real sizes for the joins that follow.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_counting(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """``stage``, and how many rows meet ``condition``, counted by the write itself."""
+    seen = Observation()
+    counted = df.observe(seen, F.count_if(condition).alias("n"))
+    return stage(counted, name), seen.get.get("n") or 0
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -75,3 +81,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def widen(table: DataFrame) -> DataFrame:
+    """Spread a stored table read in fewer tasks than there are cores.
+
+    For processor-bound work on small inputs; large tables come back unchanged.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
