@@ -37,7 +37,9 @@ _ACCENTED, _PLAIN = _accent_tables()
 
 
 def strip_accents(col: Column) -> Column:
-    return F.translate(col, _ACCENTED, _PLAIN)
+    """Plain letters for accented ones; texts of one byte per character pass through."""
+    plain = F.octet_length(col) == F.length(col)
+    return F.when(plain, col).otherwise(F.translate(col, _ACCENTED, _PLAIN))
 
 
 def concat_columns(cols: Sequence[Column]) -> Column:
@@ -80,7 +82,7 @@ def parse_list(col: Column) -> Column:
 
 def tag_set(col: Column) -> Column:
     """Sorted distinct lower-cased tags of a comma list; NULL gives ``['']``."""
-    return F.array_sort(F.array_distinct(F.transform(parse_list(col), lambda t: F.lower(t))))
+    return F.sort_array(F.array_distinct(F.transform(parse_list(col), lambda t: F.lower(t))))
 
 
 def tag_count(col: Column) -> Column:

@@ -139,7 +139,7 @@ def community_text(members: DataFrame, per_row: int = 1000) -> DataFrame:
     placed = hash_rank(members, ["community"], "tag", rank="place", total="size")
     part = F.floor((F.col("place") - 1) / per_row).cast("int").alias("part")
     return placed.groupBy("community", "size", part).agg(
-        F.array_join(F.array_sort(F.collect_list("tag")), " ").alias("members")
+        F.array_join(F.sort_array(F.collect_list("tag")), " ").alias("members")
     )
 
 
@@ -189,7 +189,7 @@ def community_features(
         value = F.lit(1.0)
     else:
         raise ValueError(f"unknown community feature: {kind}")
-    each = df.select(id_col, F.explode(tag_set(F.col(tags_col))).alias("tag"))
+    each = df.select(id_col, F.explode_outer(tag_set(F.col(tags_col))).alias("tag"))
     known = each.join(broadcast_if_small(table), "tag")
     return known.groupBy(id_col, "community").agg(value.alias("value"))
 

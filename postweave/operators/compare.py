@@ -29,7 +29,7 @@ def contingency(
     )
     patterns = (
         preds.groupBy(*by, id_col)
-        .agg(F.array_sort(F.collect_list(outcome)).alias("pattern"))
+        .agg(F.sort_array(F.collect_list(outcome)).alias("pattern"))
         .groupBy(*by, "pattern")
         .agg(F.count(F.lit(1)).alias("posts"))
     )

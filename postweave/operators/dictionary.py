@@ -34,8 +34,8 @@ def prepare_text(
 
 def document_frequency(df: DataFrame, terms_col: str = "final_text") -> DataFrame:
     """(term, df): number of posts holding each term."""
-    each = df.select(F.explode(F.array_distinct(terms_col)).alias("term"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    each = df.select(F.explode_outer(F.array_distinct(terms_col)).alias("term"))
+    return each.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def build_dictionary(
@@ -57,12 +57,19 @@ def build_dictionary(
 
 
 def term_counts(
-    df: DataFrame, id_col: str, dictionary: DataFrame, terms_col: str = "final_text"
+    df: DataFrame,
+    id_col: str,
+    dictionary: DataFrame,
+    terms_col: str = "final_text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, term, n) over dictionary terms; other terms are dropped."""
-    each = df.select(id_col, F.explode(terms_col).alias("term"))
+    """(id, keep.., term, n) over dictionary terms; other terms are dropped.
+
+    Repeats within a post combine before the shuffle.
+    """
+    each = df.select(id_col, *keep, F.explode_outer(terms_col).alias("term"))
     known = each.join(F.broadcast(dictionary.select("term")), "term")
-    return known.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
+    return known.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocabulary(dictionary: DataFrame) -> list[str]:

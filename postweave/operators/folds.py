@@ -5,21 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postweave.operators.prepare import class_counts
-from postweave.operators.ranking import hash_rank, tile_of, tile_rows, tile_start
+from postweave.operators.ranking import (
+    rank_in_slices,
+    slice_starts,
+    tile_of,
+    tile_rows,
+    tile_start,
+)
+from postweave.session import broadcast_if_small, stage
 
 
 def balanced_sample(labels: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Cut every class to the size of the smallest one: (id, label, rank, class_rows).
 
     The draw is the first rows of each class in seeded md5 order, so it is
-    repeatable and needs no random state on the executors.
+    repeatable and needs no random state on the executors. Slices of that order
+    lying beyond the cut are dropped as they are read; only the sample and the
+    slice at the cut are shuffled.
     """
-    smallest = class_counts(labels).agg(F.min("rows")).scalar()
-    ranked = hash_rank(labels.select(id_col, "label"), ["label"], id_col, f":{seed}")
-    sample = ranked.withColumn("class_rows", smallest)
-    return sample.filter(F.col("rank") <= F.col("class_rows")).select(
-        id_col, "label", "rank", "class_rows"
+    rows, seed_text = labels.select(id_col, "label"), f":{seed}"
+    starts = stage(slice_starts(rows, ["label"], id_col, seed_text), "slices")
+    smallest = starts.agg(F.min("group_rows")).first()[0] or 0
+    needed = broadcast_if_small(starts.filter(F.col("_start") < smallest).drop("group_rows"))
+    ranked = rank_in_slices(rows, needed, ["label"], id_col, seed_text)
+    sample = ranked.filter(F.col("rank") <= smallest)
+    return sample.select(
+        id_col, "label", "rank", F.lit(smallest).cast("long").alias("class_rows")
     )
 
 

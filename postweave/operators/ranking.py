@@ -11,6 +11,49 @@ from pyspark.sql import functions as F
 SLICE_DIGITS = 4
 
 
+def _keyed(df: DataFrame, key: str, seed: str) -> DataFrame:
+    keyed = df.withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))))
+    return keyed.withColumn("_slice", F.substring("_hash", 1, SLICE_DIGITS))
+
+
+def slice_starts(
+    df: DataFrame, groups: Sequence[str], key: str, seed: str = "", total: str = "group_rows"
+) -> DataFrame:
+    """(groups.., _slice, _start, total): rows of a group before each of its slices.
+
+    At most 16**4 rows per group.
+    """
+    counts = _keyed(df.select(*groups, key), key, seed).groupBy(*groups, "_slice")
+    slices = counts.agg(F.count(F.lit(1)).alias("_rows"))
+    before = (
+        Window.partitionBy(*groups)
+        .orderBy("_slice")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return slices.select(
+        *groups,
+        "_slice",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+        F.sum("_rows").over(Window.partitionBy(*groups)).alias(total),
+    )
+
+
+def rank_in_slices(
+    df: DataFrame,
+    starts: DataFrame,
+    groups: Sequence[str],
+    key: str,
+    seed: str = "",
+    rank: str = "rank",
+) -> DataFrame:
+    """Number the rows of the slices in ``starts``; rows of other slices are dropped."""
+    inside = Window.partitionBy(*groups, "_slice").orderBy("_hash", key)
+    placed = _keyed(df, key, seed).join(starts, [*groups, "_slice"])
+    return placed.withColumn(
+        rank, (F.col("_start") + F.row_number().over(inside)).cast("long")
+    ).drop("_hash", "_slice", "_start")
+
+
 def hash_rank(
     df: DataFrame,
     groups: Sequence[str],
@@ -27,27 +70,8 @@ def hash_rank(
     of the rows still spreads over all tasks. ``total`` is the group's size.
     """
     groups = list(groups)
-    keyed = df.withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))))
-    keyed = keyed.withColumn("_slice", F.substring("_hash", 1, SLICE_DIGITS))
-    slices = keyed.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    before = (
-        Window.partitionBy(*groups)
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = slices.select(
-        *groups,
-        "_slice",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-        F.sum("_rows").over(Window.partitionBy(*groups)).alias(total),
-    )
-    inside = Window.partitionBy(*groups, "_slice").orderBy("_hash", key)
-    numbered = keyed.withColumn("_place", F.row_number().over(inside))
-    return (
-        numbered.join(starts, [*groups, "_slice"])
-        .withColumn(rank, (F.col("_start") + F.col("_place")).cast("long"))
-        .drop("_hash", "_slice", "_start", "_place")
-    )
+    starts = slice_starts(df, groups, key, seed, total)
+    return rank_in_slices(df, starts, groups, key, seed, rank)
 
 
 def tile_of(rank: Column, rows: Column, tiles: int) -> Column:

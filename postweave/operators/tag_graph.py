@@ -13,8 +13,9 @@ BLOCK = 256
 
 def _pairs(sets: DataFrame) -> DataFrame:
     """(src, dst, posts) of sorted tag sets, one row per unordered pair."""
+    # A tag set is never empty; the outer form spares a filter that would parse it again.
     first = sets.select(
-        "posts", F.posexplode("tags").alias("place", "src"), "tags"
+        "posts", F.posexplode_outer("tags").alias("place", "src"), "tags"
     )
     rest = F.slice(F.col("tags"), F.col("place") + 2, F.lit(BLOCK))
     return first.select("src", F.explode(rest).alias("dst"), "posts")
@@ -23,10 +24,10 @@ def _pairs(sets: DataFrame) -> DataFrame:
 def _block_pairs(sets: DataFrame) -> DataFrame:
     """The same for sets of any length: pairs of blocks are spread over tasks."""
     last = F.floor((F.size("tags") - 1) / BLOCK).cast("int")
-    lefts = sets.select("posts", "tags", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    lefts = sets.select("posts", "tags", F.explode_outer(F.sequence(F.lit(0), last)).alias("i"))
     last = F.floor((F.size("tags") - 1) / BLOCK).cast("int")
     both = lefts.select(
-        "posts", "tags", "i", F.explode(F.sequence(F.col("i"), last)).alias("j")
+        "posts", "tags", "i", F.explode_outer(F.sequence(F.col("i"), last)).alias("j")
     )
 
     def block(n: str):
@@ -34,8 +35,8 @@ def _block_pairs(sets: DataFrame) -> DataFrame:
 
     cut = both.select("posts", block("i").alias("left"), block("j").alias("right"))
     spread = cut.repartition("left", "right")
-    src = spread.select("posts", "right", F.explode("left").alias("src"))
-    dst = src.select("src", "posts", F.explode("right").alias("dst"))
+    src = spread.select("posts", "right", F.explode_outer("left").alias("src"))
+    dst = src.select("src", "posts", F.explode_outer("right").alias("dst"))
     return dst.filter(F.col("src") < F.col("dst")).select("src", "dst", "posts")
 
 

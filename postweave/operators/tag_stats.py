@@ -14,7 +14,7 @@ def tag_share(df: DataFrame, tags_col: str, *by: str) -> DataFrame:
     Repeats in a post count once; a post without a list holds the tag ''.
     """
     posts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("all_posts"))
-    each = df.select(*by, F.explode(tag_set(F.col(tags_col))).alias("tag"))
+    each = df.select(*by, F.explode_outer(tag_set(F.col(tags_col))).alias("tag"))
     counts = each.groupBy(*by, "tag").agg(F.count(F.lit(1)).alias("posts"))
     if by:
         counts = counts.join(posts, list(by))

@@ -77,7 +77,7 @@ def topic_keywords(fitted: TopicModel, words: int = 10) -> DataFrame:
     )
     each = described.select("topic", F.posexplode("termIndices").alias("place", "index"))
     ordered = each.join(names, "index").groupBy("topic").agg(
-        F.array_sort(F.collect_list(F.struct("place", "term"))).alias("words")
+        F.sort_array(F.collect_list(F.struct("place", "term"))).alias("words")
     )
     return ordered.select(
         (F.col("topic") + 1).alias("topic"),

@@ -296,15 +296,11 @@ def bow_counts(spark, sf):
     ids = train_ids.select("doc_id", F.lit(False).alias("held")).unionByName(
         valid_ids.select("doc_id", F.lit(True).alias("held"))
     )
-    docs = texts(spark, sf).join(ids, "doc_id", "right")
-    rows = di.prepare_text(docs, "doc_id", ["text"], stemming=False, keep=("held",))
-    rows = stage(rows.select("doc_id", "held", "final_text"), "tokens")
+    prepared = di.prepare_text(texts(spark, sf), "doc_id", ["text"], stemming=False)
+    rows = prepared.select("doc_id", "final_text").join(ids, "doc_id", "right")
+    rows = stage(rows, "tokens")
     terms = _dictionary(rows.filter(~F.col("held")))
-    counts = di.term_counts(rows.filter(~F.col("held")), "doc_id", terms).withColumn(
-        "held", F.lit(False)
-    )
-    valid = di.term_counts(rows.filter("held"), "doc_id", terms).withColumn("held", F.lit(True))
-    return counts.unionByName(valid)
+    return di.term_counts(rows, "doc_id", terms, keep=("held",))
 
 
 _RATES_SQL = f"""{_TRAIN_SQL},

@@ -51,7 +51,7 @@ def tagged(spark: SparkSession, sf: str) -> DataFrame:
     lists = (
         lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_orderkey").alias("id"))
-        .agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("tags"))
+        .agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("tags"))
     )
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return orders.join(lists, "id", "left")
