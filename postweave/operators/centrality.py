@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postweave.operators.tag_graph import both_ways, vertices
-from postweave.session import stage, stage_counting
+from postweave.session import stage, stage_until
 
 # (source, tag) pairs kept at a time; more sources run in further batches.
 STATE_ROWS = 2_000_000_000
@@ -34,9 +34,9 @@ def _distances(sym: DataFrame, sources: DataFrame) -> DataFrame:
             F.least("d", "new").alias("d"),
             F.coalesce(closer & F.col("new").isNotNull(), F.lit(False)).alias("moved"),
         )
-        step, moved = stage_counting(step, "dist", F.col("moved"))
+        step, settled = stage_until(step, "dist", F.col("moved"))
         known = step.select("s", "v", "d")
-        if moved == 0:
+        if settled:
             return known
         front = step.filter("moved").select("s", "v", "d")
 
@@ -54,8 +54,8 @@ def _hop_sums(start: DataFrame, edges: DataFrame, step, name: str) -> DataFrame:
     """Sum of x over all hops of x' = step(x, edges), the start included."""
     parts = [stage(start, name)]
     while True:
-        following, found = stage_counting(step(parts[-1], edges), name, F.lit(True))
-        if found == 0:
+        following, empty = stage_until(step(parts[-1], edges), name, F.lit(True))
+        if empty:
             break
         parts.append(following)
     both = reduce(DataFrame.unionByName, parts)

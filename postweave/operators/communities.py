@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from postweave.functions.text import tag_set
 from postweave.operators.ranking import hash_rank
 from postweave.operators.tag_graph import both_ways
-from postweave.session import broadcast_if_small, stage, stage_counting
+from postweave.session import broadcast_if_small, stage, stage_until
 
 # Rounds of moves before settled communities are merged.
 ROUNDS = 8
@@ -88,9 +88,9 @@ def find_communities(
         links = stage(sym.join(state.select(F.col("v").alias("a"), "k"), "a"), "graph")
         for turn in range(rounds):
             step = _local_round(links, state, total, level * rounds + turn)
-            step, restless = stage_counting(step, "communities", F.col("restless"))
+            step, settled = stage_until(step, "communities", F.col("restless"))
             state = step.select("v", "c", "k")
-            if restless == 0:
+            if settled:
                 break
         moves = state.select("v", "c")
         if member is None:

@@ -15,7 +15,8 @@ from postweave.plans.views import (
     tag_rows_sql,
     tagged,
 )
-from postweave.session import stage
+from postweave.session import scratch_path, stage
+from postweave.sources import store
 
 
 def _edges_sql(view: str, source: str) -> str:
@@ -125,7 +126,9 @@ def page_members(spark, sf, edges=None):
 
 @query("tag_communities", f"WITH {_COMMUNITIES} SELECT tag, community FROM members")
 def tag_communities(spark, sf):
-    return page_members(spark, sf)
+    path = scratch_path(spark, "memberships")
+    store.write_table(page_members(spark, sf), path)
+    return spark.read.parquet(path)
 
 
 @query(

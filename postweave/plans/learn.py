@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from postweave.operators import folds as fo
@@ -193,14 +194,19 @@ def topic_features(spark, sf):
 @query("topic_keywords")
 def topic_keywords(spark, sf):
     _, fitted = _topic_model(spark, sf)
-    return tp.topic_keywords(fitted)
+    path = scratch_path(spark, "keywords")
+    store.write_table(tp.topic_keywords(fitted), path)
+    return spark.read.parquet(path)
 
 
 @query("topic_top_samples")
 def topic_top_samples(spark, sf):
     train, fitted = _topic_model(spark, sf)
     placed = tp.dominant_topics(tp.infer_topics(train, fitted), tp.topic_keywords(fitted))
-    top = tp.top_per_group(placed, "dominant_topic", "contribution", "doc_id", 20)
+    path = scratch_path(spark, "dominant-topics")
+    store.write_table(placed, path)
+    stored = spark.read.parquet(path)
+    top = tp.top_per_group(stored, "dominant_topic", "contribution", "doc_id", 20)
     return top.select("dominant_topic", "place", "doc_id", "contribution", "keywords", "cleaned_text")
 
 
@@ -319,6 +325,33 @@ def fold_features_community(spark, sf):
     return fold_feature("community", prepared, train_ids, valid_ids, "id", params)
 
 
+@query("fold_features_topics")
+def fold_features_topics(spark, sf):
+    """Topics of the training posts, weights of training and validation posts."""
+    folds = stage(post_folds(spark, sf, only=0), "folds")
+    train_ids, valid_ids = fo.split_ids(folds, 0, 1)
+    kind = FEATURE_TYPES["lda"]
+    prepared = stage(kind.prepare(texts(spark, sf), "doc_id", ["text"]), "tokens")
+    params = {
+        "no_below": 2, "no_above": 0.5, "LDA_topic_cutoff_threshold": 0.1,
+        "LDA_num_topics": TOPICS, "iterations": 10, "seed": SEED,
+    }
+    return fold_feature("lda", prepared, train_ids, valid_ids, "doc_id", params)
+
+
+@query("fold_features_bow")
+def fold_features_bow(spark, sf):
+    """Term counts over the training dictionary: known tokens per post."""
+    folds = stage(post_folds(spark, sf, only=0), "folds")
+    train_ids, valid_ids = fo.split_ids(folds, 0, 1)
+    kind = FEATURE_TYPES["bow"]
+    prepared = stage(kind.prepare(texts(spark, sf), "doc_id", ["text"]), "tokens")
+    params = {"no_below": 10, "no_above": 0.5}
+    found = fold_feature("bow", prepared, train_ids, valid_ids, "doc_id", params)
+    total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda acc, v: acc + v)
+    return found.select("doc_id", total.alias("known_tokens"))
+
+
 # -- regressions -------------------------------------------------------------------------
 
 
@@ -391,4 +424,8 @@ def coefficient_report(spark, sf):
         for name, df in {"lineitem": lines, "part": parts}.items()
     }
     report = rg.coefficient_report(fits)
-    return report.select("feature", *[F.round(n, 4).alias(n) for n in fits])
+    rows = report.select("feature", *[F.round(n, 4).alias(n) for n in fits])
+    path = scratch_path(spark, "coefficients")
+    store.write_table(rows, path, csv=True)
+    schema = "feature string, lineitem double, part double"
+    return spark.read.option("header", True).schema(schema).csv(path)

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows up to which a side may be broadcast once it has been counted.
@@ -65,11 +65,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage_counting(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
-    """``stage``, and how many rows meet ``condition``, counted by the write itself."""
-    seen = Observation()
-    counted = df.observe(seen, F.count_if(condition).alias("n"))
-    return stage(counted, name), seen.get.get("n") or 0
+def stage_until(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, bool]:
+    """``stage``, and whether no stored row meets ``condition`` any more."""
+    stored = stage(df, name)
+    return stored, stored.filter(condition).limit(1).count() == 0
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

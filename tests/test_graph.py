@@ -144,7 +144,7 @@ EDGES = {
 
 
 @pytest.mark.parametrize("weighted", [False, True])
-@pytest.mark.parametrize("state_rows", [10**9, 20])
+@pytest.mark.parametrize("state_rows", [10**9, 40])
 def test_betweenness_equals_brute_force(spark, weighted, state_rows):
     rows = [(a, b, w) for (a, b), w in EDGES.items()]
     df = spark.createDataFrame(rows, "src string, dst string, weight long")
