@@ -14,8 +14,9 @@ from postweave.operators.dictionary import build_dictionary, count_vectors, voca
 
 @dataclass(frozen=True)
 class TopicModel:
-    model: LDAModel
+    model: LDAModel | None
     terms: list[str]
+    topics: int
 
 
 def fit_topics(
@@ -33,6 +34,8 @@ def fit_topics(
     merges one topics x terms matrix, whose size the dictionary bounds.
     """
     terms = vocabulary(build_dictionary(train, no_below, no_above, terms_col))
+    if not terms:
+        return TopicModel(None, terms, topics)
     counts = count_vectors(train, terms, terms_col, "counts").select("counts").persist()
     lda = LDA(
         k=topics,
@@ -43,7 +46,7 @@ def fit_topics(
         featuresCol="counts",
     )
     try:
-        return TopicModel(lda.fit(counts), terms)
+        return TopicModel(lda.fit(counts), terms, topics)
     finally:
         counts.unpersist()
 
@@ -58,7 +61,9 @@ def clean_weights(weights: Column, cutoff: float) -> Column:
 def infer_topics(
     df: DataFrame, fitted: TopicModel, terms_col: str = "final_text"
 ) -> DataFrame:
-    """Add ``topic_weights`` (raw) per post."""
+    """Add ``topic_weights`` (raw) per post; all zero without any known term."""
+    if fitted.model is None:
+        return df.withColumn("topic_weights", F.array_repeat(F.lit(0.0), fitted.topics))
     counted = count_vectors(df, fitted.terms, terms_col, "counts")
     fitted.model.setFeaturesCol("counts").setTopicDistributionCol("topics")
     inferred = fitted.model.transform(counted)

@@ -139,3 +139,19 @@ def test_regressions(spark):
     assert logit["a"] > 0 > logit["b"]
     report = rg.coefficient_report({"one": table, "two": table}).collect()
     assert {r.feature: r.two for r in report} == pytest.approx({"a": 2, "b": -1})
+
+
+def test_nothing_to_learn_from(spark):
+    """No known term, no edge: features are zero, not an error."""
+    df = spark.createDataFrame([(1, "a b", None), (2, "a c", "x")], "id long, text string, tags string")
+    ids = df.select("id")
+    words = FEATURE_TYPES["lda"].prepare(df, "id", ["text"])
+    params = {
+        "no_below": 9, "no_above": 1, "LDA_num_topics": 3, "LDA_topic_cutoff_threshold": 0,
+    }
+    topics = fold_feature("lda", words, ids, ids.filter("id < 0"), "id", params)
+    assert {tuple(r.features) for r in topics.collect()} == {(0.0, 0.0, 0.0)}
+    tags = FEATURE_TYPES["community"].prepare(df, "id", ["tags"])
+    params = {"community_graph_type": "weighted", "community_feature_type": "betweeness"}
+    found = fold_feature("community", tags, ids, ids.filter("id < 0"), "id", params)
+    assert {tuple(r.features) for r in found.collect()} == {(0.0,)}
