@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.llm import line_rules, mixing, sharding, simhash
+from postweave.llm import (
+    line_dedup,
+    line_rules,
+    mixing,
+    packing,
+    secret_scan,
+    sharding,
+    simhash,
+    token_counts,
+)
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scanned(documents(spark, sf))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(spark, documents(spark, sf))
+
+
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.repeats(spark, documents(spark, sf))
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = line_rules.verdicts(spark, documents(spark, sf))
     return rows.select(
@@ -31,12 +52,26 @@ def op8_virtual_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.counted(documents(spark, sf))
+
+
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(spark, documents(spark, sf))
 
 
 QUERIES = {
-    f.__name__: f for f in (op5_quality_rules, op7_source_mix, op8_virtual_shards, op10_simhash)
+    f.__name__: f
+    for f in (
+        op2_secret_scan,
+        op3_best_fit_packing,
+        op4_line_dedup,
+        op5_quality_rules,
+        op7_source_mix,
+        op8_virtual_shards,
+        op9_token_counts,
+        op10_simhash,
+    )
 }
 
 ORACLES: dict[str, str] = {}

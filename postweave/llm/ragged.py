@@ -22,3 +22,32 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     at = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))]).astype(np.int64)
     ends = np.cumsum(counts)
     return flat.filter(filled), at[ends] - at[ends - counts]
+
+
+def gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``at`` of a ragged array, which ends each row at ``ends``; their lengths."""
+    starts = np.concatenate([[0], ends[:-1]])
+    lengths = (ends - starts)[at]
+    total = int(lengths.sum())
+    shift = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+    return values[shift + np.arange(total)], lengths
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of each ragged row, 0 for an empty one."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def portions(texts: pa.Array, most: int = 32 << 20):
+    """Slices of a batch of texts with at most ``most`` bytes, or a single text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield texts.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield texts.slice(start)
