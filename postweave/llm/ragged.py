@@ -40,7 +40,7 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def portions(texts: pa.Array, most: int = 32 << 20):
+def portions(texts: pa.Array, most: int = 16 << 20):
     """Slices of a batch of texts with at most ``most`` bytes, or a single text."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, held = 0, 0

@@ -25,7 +25,7 @@ def counted(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> Dat
     not given. No begin, end or added special tokens; special strings inside a
     text count as the library's default has it. Null texts have no bytes and no
     tokens, a null id stays null, repeated rows are counted each. Columns other
-    than doc_id and text are not read. Texts are worked on in portions of 32 MB,
+    than doc_id and text are not read. Texts are worked on in portions of 16 MB,
     a longer one alone.
     """
     prepare(docs.sparkSession)
