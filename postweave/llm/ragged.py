@@ -7,21 +7,37 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Flat words of all texts, and their number per text; null texts have none.
 
     Words end at space and tab to carriage return; ``lower`` maps A-Z alone.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data and ends[-1] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    space = SPACES[data]
+    begins = ~space
+    after = np.r_[True, space[:-1]] if len(space) else space
+    after[ends[:-1][ends[:-1] < len(data)]] = True
+    begins &= after
+    kept = data[~space]
     if lower:
-        texts = pc.ascii_lower(texts)
-    parts = pc.ascii_split_whitespace(texts)
-    flat = parts.flatten()
-    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    filled = pc.not_equal(pc.binary_length(flat), 0)
-    at = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))]).astype(np.int64)
-    ends = np.cumsum(counts)
-    return flat.filter(filled), at[ends] - at[ends - counts]
+        kept = LOWER[kept]
+    # Places of the words among the bytes that are left.
+    before = np.cumsum(~space)
+    starts = before[begins] - 1
+    offsets = np.r_[starts, len(kept)].astype(np.int64)
+    number = np.r_[0, np.cumsum(begins)]
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept))
+    return words, np.diff(number[ends])
 
 
 def gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
