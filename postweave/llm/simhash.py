@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweave.llm.common import Staging, components, prepare
-from postweave.llm.ragged import split_words
+from postweave.llm.ragged import portions, split_words
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
+# Bytes of text whose shingles are held at once; a longer text is held alone.
+PORTION = 2 << 20
 # Shingles whose bits are unpacked at once.
 SLICE = 1 << 16
 
@@ -71,10 +73,14 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = fingerprints(*shingle_hashes(batch.column(1)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found.view(np.int64))], names=["key", "fp"]
-        )
+        first = 0
+        for part in portions(batch.column(1), PORTION):
+            found = fingerprints(*shingle_hashes(part))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, len(part)), pa.array(found.view(np.int64))],
+                names=["key", "fp"],
+            )
+            first += len(part)
 
 
 def marked(docs: DataFrame) -> DataFrame:
