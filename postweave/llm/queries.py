@@ -9,6 +9,7 @@ from postweave.llm import (
     line_dedup,
     line_rules,
     mixing,
+    near_vectors,
     packing,
     secret_scan,
     sharding,
@@ -21,6 +22,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_vector_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors.near_duplicates(spark, spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scanned(documents(spark, sf))
 
@@ -63,6 +68,7 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_vector_dedup,
         op2_secret_scan,
         op3_best_fit_packing,
         op4_line_dedup,
