@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweave.llm import (
+    interpolation,
     line_dedup,
     line_rules,
     mixing,
@@ -46,6 +47,10 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    return interpolation.scored(spark, documents(spark, sf))
+
+
 def op7_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.replicate(spark, documents(spark, sf))
 
@@ -73,6 +78,7 @@ QUERIES = {
         op3_best_fit_packing,
         op4_line_dedup,
         op5_quality_rules,
+        op6_deleted_interpolation,
         op7_source_mix,
         op8_virtual_shards,
         op9_token_counts,
