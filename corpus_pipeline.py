@@ -4,29 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import line_rules, mixing, simhash
+from postweave.llm import line_rules, mixing, packing, secret_scan, simhash
 from postweave.session import stage
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the frequent lines of the others are cut out."""
     return line_rules.clean(spark, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group stays."""
     return simhash.first_of_groups(spark, docs)
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind."""
+    return secret_scan.redact(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated to the weights of their sources, in random order."""
     return mixing.replicate(spark, docs, keep=True).select("row.*")
 
 
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all copies with their sequence and place."""
+    return packing.packed(spark, docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secrets),
+    ("source_mix", mix),
+    ("packing", pack),
+]
 
-# Hash-seeded draws and fingerprints of shingles have no SQL form here.
+# Token ids and shingle hashes have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage on all that the one before it kept, each stored in between."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name)
