@@ -49,13 +49,14 @@ CLASSES = (
     CharClass("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.9),
     CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 4.1),
 )
-# Candidates that are no secrets: all one case of letters with joins (words,
-# names of things), numbers, dates, paths of words, UUIDs.
+# Candidates that are no secrets: words of letters with joins, names in camel case
+# with a number at the end, numbers, UUIDs, rules. Quantifiers give nothing back,
+# so a long string costs one pass.
 ALLOWED = (
-    re.compile(r"[a-z]+([-_/=+][a-z]+)*|[A-Z]+([-_/=+][A-Z]+)*"),
-    re.compile(r"([A-Z]?[a-z]+)([-_/=+]?([A-Z][a-z]+|[a-z]+|[0-9]{1,4}))*"),
-    re.compile(r"[0-9]+([-_/=+][0-9]+)*"),
-    re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
+    re.compile(r"[a-z]++(?:[-_/=+][a-z]++)*+|[A-Z]++(?:[-_/=+][A-Z]++)*+"),
+    re.compile(r"[A-Z]?[a-z]{2,}+(?:[-_/=+]?[A-Z][a-z]{2,}+|[-_/=+][a-z]{2,}+)*+(?:[-_/=+]?[0-9]{1,4})?"),
+    re.compile(r"[0-9]++(?:[-_/=+][0-9]++)*+"),
+    re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
     re.compile(r"[-+/_=]+"),
 )
 
