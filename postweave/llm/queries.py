@@ -86,4 +86,76 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+QUALITY_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws
+  FROM documents),
+windows AS (
+  SELECT r, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS win
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+again AS (
+  SELECT r, i FROM windows JOIN (
+    SELECT r, win FROM windows GROUP BY r, win HAVING count(*) > 1) USING (r, win)),
+repeated AS (
+  SELECT r, count(DISTINCT place) AS n FROM (
+    SELECT r, unnest(range(i, i + 8)) AS place FROM again) GROUP BY r),
+lines AS (
+  SELECT r, doc_id, source, text, l FROM (
+    SELECT r, doc_id, source, text, unnest(string_split(text, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '{WORD}')),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
+held AS (
+  SELECT r, doc_id, source, text, trim(regexp_replace(regexp_replace(
+    lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS k,
+    len(regexp_extract_all(l, '{WORD}')) AS n
+  FROM lines),
+frequent AS (
+  SELECT source, k, arg_min(text, doc_id) AS holder FROM held
+  GROUP BY source, k HAVING count(DISTINCT text) > {line_rules.MAX_TEXTS}),
+lost AS (
+  SELECT r, sum(n) AS n FROM held JOIN frequent
+  ON held.source IS NOT DISTINCT FROM frequent.source AND held.k = frequent.k
+  WHERE text <> holder GROUP BY r),
+base AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(len(ws) - coalesce(lost.n, 0) AS BIGINT) AS words_left
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND words_left >= {line_rules.MIN_WORDS}
+    AND 100 * words_left >= {line_rules.MIN_LEFT} * n_words AS kept, words_left
+FROM (SELECT *, n_words < {line_rules.MIN_WORDS}
+  OR 100 * n_repeat_words > {line_rules.MAX_REPEATED} * n_words AS base_failed FROM base)
+"""
+
+# Rates of the given tables are far below mixing.PART, so each draw is one part.
+MIX_SQL = f"""
+WITH sizes AS (
+  SELECT source, sum(strlen(coalesce(text, '')) + 1) AS bytes FROM documents GROUP BY source),
+rates AS (
+  SELECT source, sqrt(bytes) * (SELECT sum(bytes) / sum(sqrt(bytes)) FROM sizes) / bytes AS rate
+  FROM sizes),
+terms AS (
+  SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM (
+    SELECT source, k, exp(-rate + k * ln(rate) - CASE WHEN k < 2 THEN 0 ELSE lgamma(k + 1) END) AS p
+    FROM rates, range(200) t(k))),
+drawn AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+    (CAST('0x' || substr(md5(concat(doc_id, ':{mixing.SEED}:1')), 1, 13) AS BIGINT) + 0.5)
+      / 4503599627370496.0 AS u FROM documents),
+counted AS (
+  SELECT r, doc_id, drawn.source, count(*) FILTER (c <= u) AS n
+  FROM drawn JOIN terms ON drawn.source IS NOT DISTINCT FROM terms.source
+  GROUP BY r, doc_id, drawn.source),
+copies AS (SELECT doc_id, source, CAST(unnest(range(n)) AS INT) AS copy FROM counted)
+SELECT *, CAST('0x' || substr(md5(concat(doc_id, ':', copy, ':{mixing.SEED}-order')), 1, 15) AS BIGINT)
+  AS shuffle_key FROM copies
+"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op7_source_mix": MIX_SQL}
