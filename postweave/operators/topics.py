@@ -30,7 +30,7 @@ def fit_topics(
 ) -> TopicModel:
     """Dictionary and topic model of the training posts.
 
-    Online variational inference: an iteration reads a mini-batch of the posts and
+    Online variational inference: each of the ``iterations`` reads all posts and
     merges one topics x terms matrix, whose size the dictionary bounds.
     """
     terms = vocabulary(build_dictionary(train, no_below, no_above, terms_col))
@@ -42,6 +42,7 @@ def fit_topics(
         maxIter=iterations,
         seed=seed,
         optimizer="online",
+        subsamplingRate=1.0,
         optimizeDocConcentration=True,
         featuresCol="counts",
     )

@@ -17,7 +17,7 @@ from postweave.operators.static_features import StaticFeature, static_features
 from postweave.plans.graph import page_tags
 from postweave.plans.prep import _POST_LABELS, label_boolean, post_folds
 from postweave.plans.registry import query
-from postweave.plans.views import LABELLED_SQL, SEED, labelled, posts, sample_sql, table, texts
+from postweave.plans.views import INNER, LABELLED_SQL, SEED, labelled, posts, sample_sql, table, texts
 from postweave.session import scratch_path, stage
 from postweave.sources import store
 
@@ -237,23 +237,22 @@ def _learning_tables(spark, sf, cvs):
     for cv in cvs:
         train_ids, valid_ids = fo.split_ids(folds, 0, cv)
         odds = fold_feature(
-            "terms", prepared, train_ids, valid_ids, "doc_id", {"no_below": 10, "no_above": 0.5}
+            "terms", prepared, train_ids, valid_ids, "doc_id",
+            # The odds span many orders of magnitude: their logarithm is used.
+            {"no_below": 10, "no_above": 0.5, "logarithm": True},
         )
-        # The odds span many orders of magnitude: their logarithm is used.
-        wide = se.spread_array(odds, "terms", 1)
-        wide = wide.withColumn("terms_0", F.log1p(F.least("terms_0", F.lit(1e300))))
-        features[cv] = stage(static.join(wide, "doc_id", "right"), "matrix")
+        odds = odds.withColumnRenamed("features", "terms")
+        features[cv] = stage(static.join(odds, "doc_id", "right"), "matrix")
     return folds, marks, features
 
 
 def _search(spark, sf, grid, cvs):
     folds, marks, features = _learning_tables(spark, sf, cvs)
     rows = [{**g, "cv": cv} for g in grid for cv in cvs]
-    return folds, marks, features, se.parameter_search(
-        folds, features, marks, "doc_id", rows, landmarks=64
-    )
+    return folds, marks, features, se.parameter_search(folds, features, marks, "doc_id", rows)
 
 
+INNER_FOLDS = list(range(INNER))
 LINEAR = {"kernel": "linear", "cost": 1.0}
 KERNELS = [
     {"kernel": "rbf", "cost": 1.0, "gamma": 0.1},
@@ -264,18 +263,18 @@ KERNELS = [
 
 @query("svm_linear")
 def svm_linear(spark, sf):
-    return _search(spark, sf, [LINEAR], [0])[-1].select("doc_id", "pred", "true")
+    return _search(spark, sf, [LINEAR], INNER_FOLDS)[-1].select("doc_id", "pred", "true")
 
 
 @query("svm_kernel")
 def svm_kernel(spark, sf):
-    return _search(spark, sf, KERNELS, [0])[-1].select("kernel", "doc_id", "pred", "true")
+    return _search(spark, sf, KERNELS, INNER_FOLDS)[-1].select("kernel", "doc_id", "pred", "true")
 
 
 @query("param_search")
 def param_search(spark, sf):
-    """Pooled scores of a small grid over three folds."""
-    found = _search(spark, sf, [LINEAR, KERNELS[0]], [0, 1, 2])[-1]
+    """Scores of a small grid, pooled over all inner folds."""
+    found = _search(spark, sf, [LINEAR, KERNELS[0]], INNER_FOLDS)[-1]
     return me.cv_scores(found, list(se.PARAMS), ["false", "true"])
 
 
@@ -284,12 +283,12 @@ def final_model(spark, sf):
     """Search, best row per metric, refit on all inner folds, outer test predictions."""
     metrics = ["accuracy", "false", "true"]
     folds, marks, features, found = _search(
-        spark, sf, [LINEAR, {**LINEAR, "cost": 0.01}], [0, 1, "all"]
+        spark, sf, [LINEAR, {**LINEAR, "cost": 0.01}], [*INNER_FOLDS, "all"]
     )
     scores = me.cv_scores(found.filter("cv <> 'all'"), list(se.PARAMS), ["false", "true"])
     best = me.best_parameters(scores, list(se.PARAMS), metrics).collect()
     preds = se.final_models(
-        [r.asDict() for r in best], folds, features, marks, "doc_id", landmarks=64
+        [r.asDict() for r in best], folds, features, marks, "doc_id"
     )
     return preds.select("metric", "kernel", "cost", "doc_id", "pred", "true")
 
@@ -306,7 +305,9 @@ def svm_multiclass(spark, sf):
         for name, word in {"en": "the", "fr": "les", "de": "der", "es": "los"}.items()
     }
     features = stage(static_features(docs, "doc_id", words), "static")
-    found = se.parameter_search(folds, features, marks, "doc_id", [{**LINEAR, "cv": 0}])
+    found = se.parameter_search(
+        folds, features, marks, "doc_id", [{**LINEAR, "cv": cv} for cv in INNER_FOLDS]
+    )
     return found.select("doc_id", "pred", "true")
 
 

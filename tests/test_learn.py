@@ -155,3 +155,50 @@ def test_nothing_to_learn_from(spark):
     params = {"community_graph_type": "weighted", "community_feature_type": "betweeness"}
     found = fold_feature("community", tags, ids, ids.filter("id < 0"), "id", params)
     assert {tuple(r.features) for r in found.collect()} == {(0.0,)}
+
+
+def test_a_vector_feature_reaches_a_classifier(spark):
+    texts = {0: "dog cat fish", 1: "bolt nail screw"}
+    rows = [(i, texts[i % 2], i % 2 == 1, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, label boolean, n double")
+    labels = df.select("id", "label")
+    folds = fo.nested_folds(fo.balanced_sample(labels, "id", 1), 4, 2, only=0)
+    train_ids, valid_ids = fo.split_ids(folds, 0, 0)
+    prepared = FEATURE_TYPES["bow"].prepare(df, "id", ["text"])
+    bow = fold_feature("bow", prepared, train_ids, valid_ids, "id", {"no_below": 1, "no_above": 1.0})
+    table = df.select("id", "n", F.array(F.col("n"), F.lit(1.0)).alias("pair")).join(
+        bow.withColumnRenamed("features", "bow.counts"), "id", "left"
+    )
+    train, valid = se.fold_matrix(folds, table, labels, "id", 0, 0)
+    x = np.array([r.features.toArray() for r in train.collect()])
+    assert x.shape[1] == 9 and np.allclose(x.mean(0), 0)
+    assert all(np.isclose(v, 1) or np.isclose(v, 0) for v in x.std(0))
+    found = predictions(fit_classifier(train, "id", {"cost": 1.0}), valid, "id")
+    assert found.count() and found.filter(F.col("pred") != F.col("true")).count() == 0
+
+
+def test_wide_vectors_scale_in_one_plan(spark):
+    wide = 50_000
+    df = spark.range(6).select("id", F.col("id").alias("at"))
+    df = df.withColumn("v", array_to_vector(F.transform(
+        F.sequence(F.lit(1), F.lit(wide)), lambda k: F.when(k == F.col("at") + 1, 6.0).otherwise(0.0)
+    )))
+    df = df.withColumn("v", F.when(F.col("id") < 5, F.col("v")))
+    scaling = mx.fit_vector_scaling(df, "v")
+    assert len(scaling.mean) == wide and scaling.mean[0] == pytest.approx(6 / 5)
+    scaled = {r.id: r.v.toArray() for r in mx.scale_vectors(df, "v", scaling).collect()}
+    assert not scaled[5].any() and not scaled[0][5:].any()
+    assert np.std([scaled[i][0] for i in range(6)]) == pytest.approx(1)
+
+
+def test_missing_parameters_read_one(spark):
+    df = _circle(spark, 60)
+    for kernel in ("rbf", "sigmoid", "poly"):
+        short = fit_classifier(df, "id", {"kernel": kernel, "gamma": None}, 16, max_iter=3)
+        full = {"kernel": kernel, "cost": 1.0, "gamma": 1.0, "coef0": 1.0, "degree": 1.0}
+        long = fit_classifier(df, "id", full, 16, max_iter=3)
+        assert short.kernel.gamma == short.kernel.coef0 == short.kernel.degree == 1.0
+        assert np.allclose(short.models[0][2].coefficients.toArray(), long.models[0][2].coefficients.toArray())
+        assert not short.converged
+    with pytest.raises(ValueError):
+        fit_classifier(df, "id", {"cost": 0})
