@@ -179,7 +179,7 @@ class Graph:
             all_ids = np.hstack([ids[active], np.where(fresh, found, -1)])
             all_sims = np.hstack([sims[active], value])
             all_open = np.hstack([open_[active], fresh])
-            best = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
+            best = np.argsort(-all_sims, axis=1)[:, :beam]
             ids[active] = np.take_along_axis(all_ids, best, 1)
             sims[active] = np.take_along_axis(all_sims, best, 1)
             still = np.take_along_axis(all_open, best, 1)

@@ -19,7 +19,7 @@ from postweave.llm.hnsw import Graph, unit
 
 LEAST = 0.98
 # Classes of a shard on average, and shards whose classes are searched in one task.
-SHARD = 4096
+SHARD = 8192
 BLOCK = 8
 BEAM = 64
 AUDIT = 256
