@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,14 +18,19 @@ BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 WORD_RUN = r"[\p{L}\p{Nl}\p{No}_]+"
 
 
+@cache
 def _accent_tables() -> tuple[str, str]:
-    """Characters to replace and their plain forms; marks come last and vanish."""
+    """Characters to replace and their plain forms; marks come last and vanish.
+
+    Covers every code point that is a mark or loses marks by decomposition.
+    """
     accented, plain, marks = [], [], []
-    for point in range(0xC0, 0x2000):
-        char = chr(point)
+    for char in map(chr, range(0xC0, 0x110000)):
         if unicodedata.category(char) == "Mn":
             marks.append(char)
             continue
+        if not unicodedata.decomposition(char) or unicodedata.decomposition(char)[0] == "<":
+            continue
         kept = [c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn"]
         base = unicodedata.normalize("NFC", "".join(kept))
         if base != char and len(base) == 1:
@@ -33,13 +39,10 @@ def _accent_tables() -> tuple[str, str]:
     return "".join(accented + marks), "".join(plain)
 
 
-_ACCENTED, _PLAIN = _accent_tables()
-
-
 def strip_accents(col: Column) -> Column:
     """Plain letters for accented ones; texts of one byte per character pass through."""
     plain = F.octet_length(col) == F.length(col)
-    return F.when(plain, col).otherwise(F.translate(col, _ACCENTED, _PLAIN))
+    return F.when(plain, col).otherwise(F.translate(col, *_accent_tables()))
 
 
 def concat_columns(cols: Sequence[Column]) -> Column:

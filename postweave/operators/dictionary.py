@@ -26,9 +26,11 @@ def prepare_text(
     )
     cleaned = orig.withColumn("cleaned_text", clean(F.col("orig_text"), replacements))
     words = drop_stop_words(tokens(F.col("cleaned_text")))
-    final = or_empty_token(stems(words) if stemming else words)
-    return cleaned.select(
-        id_col, "orig_text", "cleaned_text", final.alias("final_text"), *keep
+    # Two projections, so that the tokens are computed once for test and value.
+    made = cleaned.withColumn("final_text", stems(words) if stemming else words)
+    return made.select(
+        id_col, "orig_text", "cleaned_text",
+        or_empty_token(F.col("final_text")).alias("final_text"), *keep,
     )
 
 

@@ -291,14 +291,12 @@ _FOLD_SQL = f"""{_POST_LABELS}, {sample_sql('post_labels')},
 )
 def bow_counts(spark, sf):
     """Counts of a training and a validation fold over the training dictionary."""
-    folds = post_folds(spark, sf, only=0)
-    train_ids, valid_ids = fo.split_ids(folds, 0, 1)
-    ids = train_ids.select("doc_id", F.lit(False).alias("held")).unionByName(
-        valid_ids.select("doc_id", F.lit(True).alias("held"))
-    )
-    prepared = di.prepare_text(texts(spark, sf), "doc_id", ["text"], stemming=False)
-    rows = prepared.select("doc_id", "final_text").join(ids, "doc_id", "right")
-    rows = stage(rows, "tokens")
+    folds = post_folds(spark, sf, only=0).filter(F.col("inner_fold").isNotNull())
+    ids = folds.select("doc_id", (F.col("inner_fold") == 1).alias("held"))
+    # Only sampled posts are tokenised.
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(ids, "doc_id", "right")
+    rows = di.prepare_text(docs, "doc_id", ["text"], stemming=False, keep=("held",))
+    rows = stage(rows.select("doc_id", "held", "final_text"), "tokens")
     terms = _dictionary(rows.filter(~F.col("held")))
     return di.term_counts(rows, "doc_id", terms, keep=("held",))
 

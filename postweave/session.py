@@ -82,10 +82,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
-def widen(table: DataFrame) -> DataFrame:
-    """Spread a stored table read in fewer tasks than there are cores.
+def widen(table: DataFrame, most_tasks: int = 2) -> DataFrame:
+    """Spread a stored table that one or two tasks would read over the cores.
 
-    For processor-bound work on small inputs; large tables come back unchanged.
+    So what is shuffled never exceeds ``most_tasks`` input splits, however many
+    cores there are; any larger table comes back unchanged.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    few = table.rdd.getNumPartitions() <= most_tasks < cores
+    return table.repartition(cores) if few else table

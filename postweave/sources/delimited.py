@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,11 +11,18 @@ from pyspark.sql.types import StructType
 TEXT_TYPES = ("csv", "txt")
 
 
-def spans_lines(spark: SparkSession, path: str, quote: str = '"') -> bool:
-    """Whether some record may hold a line break: a line with an odd number of quotes."""
+def files_spanning_lines(spark: SparkSession, path: str | list[str], quote: str = '"') -> set[str]:
+    """Files in which some record may hold a line break: a line with an odd number
+    of quotes. One parallel pass; the names of such files reach the driver."""
     line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit(quote), F.lit("")))
-    return spark.read.text(path).filter(quotes % 2 == 1).limit(1).count() > 0
+    odd = spark.read.text(path).filter(quotes % 2 == 1)
+    return {unquote(r[0]) for r in odd.select(F.input_file_name()).distinct().collect()}
+
+
+def spans_lines(spark: SparkSession, path: str, quote: str = '"') -> bool:
+    """Whether any file of ``path`` may hold a record over several lines."""
+    return bool(files_spanning_lines(spark, path, quote))
 
 
 def read_delimited(
@@ -24,26 +33,36 @@ def read_delimited(
     kind: str = "csv",
     multiline: bool | None = None,
 ) -> DataFrame:
-    """Read a delimited file with a header row.
+    """Read delimited files with a header row.
 
     A file whose records span lines cannot be split into tasks. With ``multiline``
-    unset the file is checked first, so that ordinary files are read in parallel.
+    unset the files are checked first, and all others are read in parallel.
     """
     if kind not in TEXT_TYPES:
         raise ValueError(f"unsupported source type: {kind}")
-    if multiline is None:
-        multiline = spans_lines(spark, path)
-    return (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("mode", "FAILFAST")
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        .schema(schema)
-        .csv(path)
-    )
+
+    def read(paths: str | list[str], whole: bool) -> DataFrame:
+        return (
+            spark.read.option("header", True)
+            .option("sep", sep)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("multiLine", whole)
+            .option("mode", "FAILFAST")
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+            .schema(schema)
+            .csv(paths)
+        )
+
+    if multiline is not None:
+        return read(path, multiline)
+    spanning = files_spanning_lines(spark, path)
+    if not spanning:
+        return read(path, False)
+    files = {unquote(f) for f in spark.read.text(path).inputFiles()}
+    plain = sorted(files - spanning)
+    found = read(sorted(spanning), True)
+    return read(plain, False).unionByName(found) if plain else found
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
@@ -78,7 +97,7 @@ def last_per_word(rows: DataFrame, position) -> DataFrame:
 def read_two_header(
     spark: SparkSession, path: str, id_col: str, first_kept: str = "WC", sep: str = ","
 ) -> DataFrame:
-    """A word-category export whose first data row holds the original column names.
+    """A word-category export whose first data row (row 0) holds the original names.
 
     The id column is the one named ``id_col`` there; kept are the id and, as
     doubles, everything from the header column ``first_kept`` rightward.
@@ -91,15 +110,30 @@ def read_two_header(
         .option("multiLine", spans_lines(spark, path))
         .csv(path)
     )
-    names = raw.filter(
-        F.array_contains(F.array(*[F.col(f"`{c}`") for c in raw.columns]), id_col)
-    ).first()
-    if names is None or first_kept not in raw.columns:
-        raise ValueError(f"no row names {id_col!r} or no column {first_kept!r}")
-    at = list(names).index(id_col)
+    # Row 0 of each file; of several files, as Spark writes them, one has the names.
+    cells = F.array(*[F.col(f"`{c}`") for c in raw.columns])
+    block = F.col("_metadata.file_block_start")
+    firsts = (
+        raw.select(
+            cells.alias("cells"), F.col("_metadata.file_path").alias("file"), block.alias("block"),
+            F.monotonically_increasing_id().alias("place"),
+        )
+        .filter("block = 0")
+        .groupBy("file")
+        .agg(F.min_by("cells", "place").alias("cells"))
+    )
+    found = firsts.filter(F.array_contains("cells", id_col)).first()
+    if found is None or first_kept not in raw.columns:
+        raise ValueError(f"no first row names {id_col!r} or no column {first_kept!r}")
+    names = found.cells
+    at = names.index(id_col)
     kept = raw.columns[raw.columns.index(first_kept):]
     source = F.col(f"`{raw.columns[at]}`")
-    body = raw.filter(~source.eqNullSafe(F.lit(id_col)))
+    # Only rows equal to the first one hold names: that of each file.
+    is_names = F.lit(True)
+    for c, name in zip(raw.columns, names):
+        is_names = is_names & F.col(f"`{c}`").eqNullSafe(F.lit(name))
+    body = raw.filter(~is_names)
     return body.select(
         source.alias(id_col), *[F.col(f"`{c}`").cast("double").alias(c) for c in kept]
     )

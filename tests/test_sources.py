@@ -82,3 +82,24 @@ def test_grid_sizes(spark):
 def test_experiment_key():
     key = store.experiment_key("p", "test", "svm", ["a", "b"], {"x": "lda"})
     assert key == "p_test_svm_a_b_lda(x)"
+
+
+def test_id_name_inside_a_text_cell(spark, tmp_path):
+    path = tmp_path / "export.csv"
+    path.write_text("A,B,WC\ntweet_id,text,WC\n1,tweet_id,12\ntweet_id,x,3\n")
+    rows = delimited.read_two_header(spark, str(path), "tweet_id").collect()
+    assert [tuple(r) for r in rows] == [("1", 12.0), ("tweet_id", 3.0)]
+
+
+def test_only_the_file_with_long_records_is_read_whole(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"p {k}.csv").write_text(f"id,text\n{k},plain\n{k + 10},\"a, b\"\n")
+    (folder / "odd.csv").write_text('id,text\n7,"two\nlines"\n')
+    assert len(delimited.files_spanning_lines(spark, str(folder))) == 1
+    rows = delimited.read_delimited(spark, str(folder), "id long, text string")
+    assert {(r.id, r.text) for r in rows.collect()} == {
+        *[(k, "plain") for k in range(3)], *[(k + 10, "a, b") for k in range(3)], (7, "two\nlines"),
+    }
+    assert len(rows.inputFiles()) == 4

@@ -150,3 +150,14 @@ def test_tag_codes(spark):
     with pytest.raises(Exception):
         decode_tags(bad, "id", "t", digits, tags).collect()
     assert decode_tags(df, "id", "t", digits, None).count() == 3
+
+
+def test_marks_beyond_the_first_blocks_vanish(spark):
+    import unicodedata
+
+    samples = ["ガラス", "a⃗b", "é è ñ", "𑂚", "ﬁ 가", "Å"]
+    df = spark.createDataFrame([(s,) for s in samples], "t string")
+    found = [r.x for r in df.select(tx.strip_accents(F.col("t")).alias("x")).collect()]
+    plain = lambda s: unicodedata.normalize("NFC", "".join(
+        c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))
+    assert found == [plain(s) for s in samples] and found[0] == "カラス"
