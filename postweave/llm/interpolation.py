@@ -58,16 +58,17 @@ SCORED = (
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Non-negative integers in the smallest width that holds them, compressed."""
+    """Non-negative integers in the smallest width that holds them, byte by byte, compressed."""
     top = int(values.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w or w == 8)
-    raw = values.astype(f"<u{width}").tobytes()
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(raw)
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data[1:])
-    return np.frombuffer(raw, f"<u{data[0]}").astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(data[0], -1).T).view(f"<u{data[0]}")
+    return values.reshape(-1).astype(np.int64)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
