@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from postweave.functions.text import tag_set
 from postweave.operators.ranking import hash_rank
 from postweave.operators.tag_graph import both_ways
-from postweave.session import broadcast_if_small, stage, stage_until
+from postweave.session import broadcast_if_small, stage, stage_until, unstage
 
 # Rounds of moves before settled communities are merged.
 ROUNDS = 8
@@ -74,39 +74,48 @@ def find_communities(
     """(tag, label) for every vertex of (src, dst, weight); the label is a tag.
 
     Merging goes on until a level moves nothing, or for ``levels`` levels. Each
-    round is stored in the shared folder. Stopping once no tag wants to move
-    gives the same result as running all rounds.
+    round is stored in the shared folder and replaces the one before. Stopping
+    once no tag wants to move gives the same result as running all rounds.
     """
     sym = stage(both_ways(edges), "graph")
     total = sym.agg(F.sum("weight")).first()[0] or 0
     member = None
     for level in count():
         degree = sym.groupBy("a").agg(F.sum("weight").alias("k"))
-        state = stage(
+        stored = stage(
             degree.select(F.col("a").alias("v"), F.col("a").alias("c"), "k"), "communities"
         )
+        state = stored
         links = stage(sym.join(state.select(F.col("v").alias("a"), "k"), "a"), "graph")
         for turn in range(rounds):
             step = _local_round(links, state, total, level * rounds + turn)
             step, settled = stage_until(step, "communities", F.col("restless"))
-            state = step.select("v", "c", "k")
+            unstage(stored)
+            stored, state = step, step.select("v", "c", "k")
             if settled:
                 break
+        unstage(links)
         moves = state.select("v", "c")
         if member is None:
             member = moves.toDF("tag", "label")
         else:
-            member = stage(
+            wider = stage(
                 member.join(moves.toDF("label", "next"), "label").select(
                     "tag", F.col("next").alias("label")
                 ),
                 "communities",
             )
+            unstage(member)
+            member = wider
         if level + 1 == levels or state.filter("v <> c").limit(1).count() == 0:
             break
         left, right = moves.toDF("a", "ca"), moves.toDF("b", "cb")
         merged = sym.join(left, "a").join(right, "b").groupBy("ca", "cb")
-        sym = stage(merged.agg(F.sum("weight").alias("weight")).toDF("a", "b", "weight"), "graph")
+        smaller = stage(
+            merged.agg(F.sum("weight").alias("weight")).toDF("a", "b", "weight"), "graph"
+        )
+        unstage(sym)
+        sym = smaller
     return member
 
 

@@ -62,7 +62,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.__dict__["_stage_path"] = path
+    return stored
+
+
+def unstage(stored: DataFrame | None) -> None:
+    """Delete a table that ``stage`` returned; no later plan may read it."""
+    path = None if stored is None else stored.__dict__.pop("_stage_path", None)
+    if path is None:
+        return
+    spark = stored.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage_until(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, bool]:
