@@ -93,10 +93,15 @@ def repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) ->
         "digest", F.col("first.doc_id").alias("kept_doc_id"),
         F.col("first.unit").alias("kept_unit"), F.col("first.start").alias("kept_start"),
     )
+    # Stored, so that both sides of the join are dealt anew and a digest with very
+    # many places is split over tasks.
+    first = staging(first, "first-places")
     again = cut.join(first, "digest").filter(
         "doc_id > kept_doc_id or (doc_id = kept_doc_id and unit > kept_unit)"
     )
-    # One document's units: as many as its text has.
+    # Dealt by document here, so that the join before may be split and all that
+    # follows needs no other exchange. One document has as many units as its text.
+    again = again.repartition("doc_id")
     own = Window.partitionBy("doc_id").orderBy("unit")
     runs = again.dropDuplicates(["doc_id", "unit", "start", "digest"]).withColumn(
         "run", F.col("unit") - F.dense_rank().over(own)
