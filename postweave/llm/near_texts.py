@@ -1,0 +1,180 @@
+"""One document of each group of near copies, by 5-word Jaccard similarity.
+
+Shingles of five words come from the SimHash shingles of three. Texts are cut
+into bands of minimum hashes, so texts at the least similarity share a band but
+for a vanishing part; those that share one are compared on all their shingles.
+Texts within two bits of SimHash are one group too.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
+
+from postweave.llm.common import Staging, components, prepare
+from postweave.llm.ragged import portions
+from postweave.llm.simhash import PORTION, fingerprints, links, shingle_hashes
+
+# Least similarity as a fraction.
+SHARE = (4, 5)
+# Two texts at similarity s share no band with probability (1 - s ** ROWS) ** BANDS,
+# 5e-8 at 0.8.
+BANDS, ROWS = 32, 4
+# Shingles that are multiplied at once.
+SLICE = 1 << 14
+_DRAWN = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
+FACTORS, SHIFTS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return values ^ (values >> np.uint64(29))
+
+
+def wide_shingles(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of 5-word shingles from those of three; a shorter text is one shingle.
+
+    Words i to i + 4 are the shingles of three at i and i + 2.
+    """
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    n = np.where(counts >= 3, counts - 2, np.minimum(counts, 1))
+    before = np.repeat(np.cumsum(n) - n, n)
+    left = np.repeat(starts, n) + np.arange(len(before)) - before
+    right = np.minimum(left + 2, np.repeat(ends, n) - 1)
+    return _mixed(hashes[left] * LEFT + hashes[right] * RIGHT), n
+
+
+def band_keys(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of band keys per text; rows of texts without shingles mean nothing."""
+    least = np.full((BANDS * ROWS, len(counts)), np.uint64(2**64 - 1))
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for a in range(0, len(shingles), SLICE):
+        part, own = shingles[a : a + SLICE], owner[a : a + SLICE]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        texts = own[starts]
+        for k in range(BANDS * ROWS):
+            found = np.minimum.reduceat(part * FACTORS[k] + SHIFTS[k], starts)
+            least[k, texts] = np.minimum(least[k, texts], found)
+    keys = np.zeros((BANDS, len(counts)), np.uint64)
+    for band in range(BANDS):
+        keys[band] = band
+        for row in least[band * ROWS : (band + 1) * ROWS]:
+            keys[band] = _mixed(keys[band] * LEFT + row)
+    return keys.T
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first = 0
+        for part in portions(batch.column(1), PORTION):
+            keys = [xxhash.xxh64_intdigest(t) for t in pc.fill_null(part.cast(pa.large_binary()), b"").to_pylist()]
+            hashes, counts = shingle_hashes(part)
+            wide, n = wide_shingles(hashes, counts)
+            ends = np.cumsum(n)
+            sizes = [len(np.unique(wide[b - c : b])) for b, c in zip(ends, n, strict=True)]
+            bands = band_keys(wide, n)[n > 0]
+            offsets = np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(first, len(part)),
+                    pa.array(np.array(keys, np.uint64).view(np.int64)),
+                    pa.array(fingerprints(hashes, counts).view(np.int64)),
+                    pa.array(sizes, pa.int32()),
+                    pa.ListArray.from_arrays(
+                        pa.array(offsets), pa.array(np.ascontiguousarray(bands).reshape(-1).view(np.int64))
+                    ),
+                ],
+                names=["row", "key", "fp", "n", "bands"],
+            )
+            first += len(part)
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (p, q, left, right) whose texts reach the least similarity."""
+    for batch in batches:
+        kept = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            both = pa.array([batch.column(2)[i].as_py(), batch.column(3)[i].as_py()], pa.large_string())
+            shingles, n = wide_shingles(*shingle_hashes(both))
+            a, b = np.unique(shingles[: n[0]]), np.unique(shingles[n[0] :])
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            kept[i] = SHARE[1] * shared >= SHARE[0] * (len(a) + len(b) - shared)
+        yield batch.select([0, 1]).filter(pa.array(kept))
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, staging: Staging) -> DataFrame:
+    """(a, b): the distinct ``pairs`` (p, np, q, nq) that are similar enough."""
+    low, high = F.least("np", "nq"), F.greatest("np", "nq")
+    pairs = staging(pairs.filter(low * SHARE[1] >= high * SHARE[0]).select("p", "q").distinct(), "near-pairs")
+    used = pairs.select(F.col("p").alias("key")).union(pairs.select("q")).distinct()
+    texts = rows.select("key", F.coalesce("row.text", F.lit("")).alias("text")).join(used, "key", "left_semi")
+    texts = staging(texts.dropDuplicates(["key"]), "near-texts")
+    joined = pairs.join(texts.toDF("p", "left"), "p").join(texts.toDF("q", "right"), "q")
+    return staging(joined.select("p", "q", "left", "right").mapInArrow(_similar, "p long, q long"), "near-links").toDF("a", "b")
+
+
+def _placed(spark: SparkSession, keys: DataFrame, edges: DataFrame) -> DataFrame:
+    found = components(spark, edges)
+    return keys.join(found, F.col("key") == F.col("node"), "left").select(
+        "key", F.coalesce("component", "key").alias("component")
+    )
+
+
+def first_of_near(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, with all columns.
+
+    Equal texts, texts within two bits of SimHash and texts of 5-word Jaccard 0.8
+    or more are linked, and linked texts are one group, whatever their ids. The row
+    with the smallest id stays, null last; of several with that id the one with the
+    smallest text hash and then the smallest hash of the row.
+
+    Texts of a band are compared with its first text; only those that are not in
+    one group after it are compared with each other.
+    """
+    prepare(spark)
+    staging = Staging(spark)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    schema = packed.select("row").schema.add("key", LongType()).add("fp", LongType())
+    schema = schema.add("n", IntegerType()).add("bands", ArrayType(LongType()))
+    rows = staging(packed.mapInArrow(_marked, schema), "near-marks")
+    keys = staging(rows.select("key", "fp").distinct(), "near-keys")
+    # Texts of equal or linked fingerprints hang on one text of them.
+    prints = staging(keys.groupBy("fp").agg(F.min("key").alias("least")), "near-prints")
+    close = links(prints.select("fp"))
+    edges = keys.join(prints, "fp").select(F.col("key").alias("a"), F.col("least").alias("b")).unionByName(
+        close.join(prints.toDF("a", "p"), "a").join(prints.toDF("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    )
+    edges = staging(edges.filter("a <> b"), "near-links")
+    slots = rows.select("key", "n", F.explode("bands").alias("slot")).distinct()
+    shared = slots.groupBy("slot").agg(
+        F.min(F.struct("key", "n")).alias("first"), F.count(F.lit(1)).alias("texts")
+    ).filter("texts > 1")
+    slots = staging(slots.join(shared, "slot"), "near-slots")
+    stars = slots.filter("key <> first.key").select(
+        F.col("first.key").alias("p"), F.col("first.n").alias("np"), F.col("key").alias("q"), F.col("n").alias("nq")
+    )
+    edges = edges.unionByName(_verified(rows, stars, staging))
+    placed = staging(_placed(spark, keys.select("key"), edges), "near-groups")
+    open_ = staging(slots.filter("texts > 2").join(placed, "key").select("slot", "key", "n", "component"), "near-slots")
+    x, y = open_.alias("x"), open_.alias("y")
+    rest = x.join(
+        y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.key") < F.col("y.key")),
+    ).select(F.col("x.key").alias("p"), F.col("x.n").alias("np"), F.col("y.key").alias("q"), F.col("y.n").alias("nq"))
+    more = _verified(rows, rest, staging)
+    placed = _placed(spark, keys.select("key"), edges.unionByName(more))
+    order = F.struct(
+        F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), "key", F.xxhash64("row").alias("row_key")
+    )
+    ranked = rows.select("row", order.alias("rank")).join(
+        placed.withColumnRenamed("key", "text_key"), F.col("rank.key") == F.col("text_key")
+    )
+    return ranked.groupBy("component").agg(F.min_by("row", "rank").alias("row")).select("row.*")

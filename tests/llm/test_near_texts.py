@@ -1,0 +1,91 @@
+import random
+
+import cases
+import numpy as np
+import pyarrow as pa
+from test_simhash import plain_components, plain_fingerprint
+
+from postweave.llm import near_texts
+
+
+def shingles(text):
+    words = cases.lower(text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def similar(a, b):
+    return bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
+
+
+def copies(rng, text, changes):
+    words = text.split()
+    for at in rng.sample(range(len(words)), changes):
+        words[at] = f"other{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def planted():
+    """Texts with copies in which single words differ, some on either side of 0.8."""
+    rng = random.Random(8)
+    out = []
+    for _ in range(40):
+        text = cases.sentence(rng, rng.randint(60, 300))
+        size = len(text.split())
+        out += [text, *[copies(rng, text, max(1, int(size * part))) for part in (0.005, 0.015, 0.02, 0.024, 0.04)]]
+    # A chain whose ends are not similar.
+    for _ in range(5):
+        out.append(copies(rng, out[-1], 2))
+    return [(i, t, "en", "s", len(t)) for i, t in enumerate(out)]
+
+
+def test_one_of_each_group_of_near_copies_stays(spark):
+    data = planted()
+    sets = [shingles(t) for _, t, *_ in data]
+    prints = [plain_fingerprint(t) for _, t, *_ in data]
+    near = [(i, j) for i in range(len(data)) for j in range(i) if similar(sets[i], sets[j])]
+    close = [(i, j) for i in range(len(data)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert len(set(near) - set(close)) > 100
+    group = plain_components(near + close, range(len(data)))
+    docs = cases.clashing(cases.documents(spark, data))
+    kept = near_texts.first_of_near(spark, docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
+    assert kept.columns == docs.columns
+
+
+def test_rows_of_equal_or_missing_ids(spark):
+    rng = random.Random(5)
+    a, b, c = (cases.sentence(rng, 80) for _ in range(3))
+    texts = [(7, a), (7, b), (7, b), (None, a), (None, c), (None, c), (9, copies(rng, b, 1)), (None, None), (11, "")]
+    kept = near_texts.first_of_near(spark, cases.documents(spark, [(i, t, "en", "s", 1) for i, t in texts]))
+    assert cases.tuples(kept, "doc_id", "text") == sorted([(7, a), (7, b), (None, c), (11, "")], key=repr)
+
+
+def test_texts_of_a_band_beyond_its_first(spark):
+    # Two pairs of copies share half of their words with each other and so many bands.
+    rng = random.Random(6)
+    data = []
+    for k in range(30):
+        half = cases.sentence(rng, 150)
+        for _ in range(2):
+            text = f"{half} {cases.sentence(rng, 60)}"
+            data += [text, copies(rng, text, 4)]
+    sets = [shingles(t) for t in data]
+    prints = [plain_fingerprint(t) for t in data]
+    near = [
+        (i, j) for i in range(len(data)) for j in range(i)
+        if similar(sets[i], sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 2
+    ]
+    group = plain_components(near, range(len(data)))
+    docs = cases.documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(data)])
+    assert sorted(r.doc_id for r in near_texts.first_of_near(spark, docs).collect()) == sorted(set(group.values()))
+
+
+def test_shingles_and_bands():
+    texts = [cases.sentence(random.Random(k), k) for k in range(12)] + [None, "a b c d e f", "a b c d e f a b c d e f"]
+    hashes, n = near_texts.wide_shingles(*near_texts.shingle_hashes(pa.array(texts)))
+    ends = np.cumsum(n)
+    assert [len(set(hashes[e - k : e].tolist())) for e, k in zip(ends, n, strict=True)] == [len(shingles(t)) for t in texts]
+    whole = near_texts.band_keys(hashes, n)
+    for i, (e, k) in enumerate(zip(ends, n, strict=True)):
+        if k:
+            assert (near_texts.band_keys(hashes[e - k : e], n[i : i + 1])[0] == whole[i]).all()
