@@ -2,8 +2,9 @@
 
 Candidate strings are scanned by windows of a width per character class. The
 entropy of a window comes from counts that change by one character in and one
-out; windows at or above the class's threshold are joined to spans. Strings on
-the allow list give no such span. Spans of the patterns stay in any case.
+out; a candidate with a window at or above the class's threshold is a span from
+end to end. Strings on the allow list give no such span. Spans of the patterns
+stay in any case.
 """
 
 from __future__ import annotations
@@ -42,19 +43,24 @@ class CharClass:
     bits: float
 
 
-# The first class that has all characters of the candidate applies. A window of
-# distinct characters has log2(width) bits; words of letters stay well below.
+# The first class that has all characters of the candidate applies; a candidate
+# shorter than the width is one window. Of random strings of 20 characters of a
+# class's alphabet at most a few in ten thousand stay below its threshold.
 CLASSES = (
-    CharClass("hex", re.compile(r"[0-9A-Fa-f]+"), 20, 3.0),
-    CharClass("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.9),
-    CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 4.1),
+    CharClass("hex", re.compile(r"[0-9A-Fa-f]+"), 20, 2.6),
+    CharClass("base32", re.compile(r"[A-Z2-7]+=*|[a-z2-7]+=*"), 20, 3.0),
+    CharClass("single", re.compile(r"[A-Z0-9]+|[a-z0-9]+"), 20, 3.0),
+    CharClass("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.3),
+    CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 3.3),
 )
 # Candidates that are no secrets: words of letters with joins, names in camel case
-# with a number at the end, numbers, UUIDs, rules. Quantifiers give nothing back,
+# with a number at the end, words and short numbers with joins, numbers, UUIDs,
+# rules. Quantifiers give nothing back,
 # so a long string costs one pass.
 ALLOWED = (
     re.compile(r"[a-z]++(?:[-_/=+][a-z]++)*+|[A-Z]++(?:[-_/=+][A-Z]++)*+"),
-    re.compile(r"[A-Z]?[a-z]{2,}+(?:[-_/=+]?[A-Z][a-z]{2,}+|[-_/=+][a-z]{2,}+)*+(?:[-_/=+]?[0-9]{1,4})?"),
+    re.compile(r"[A-Z]?[a-z]{2,}+(?:[-_/=+]?(?:A?[A-Z][a-z]{2,}+|A[nst]|By|I[dfnst]|No|O[fnr]|To|Up)|[-_/=+][a-z]{2,}+)*+(?:[-_/=+]?[0-9]{1,4})?"),
+    re.compile(r"(?:(?:[A-Z]++(?![a-z])|[A-Z]?[a-z]++|[0-9]{1,4}+)(?:[-_/=+]++|\Z))++"),
     re.compile(r"[0-9]++(?:[-_/=+][0-9]++)*+"),
     re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
     re.compile(r"[-+/_=]+"),
@@ -84,22 +90,10 @@ def _term(n: int) -> float:
 def entropy_spans(text: str, classes=CLASSES, allowed=ALLOWED) -> list[tuple[int, int]]:
     """Joined windows of high entropy in the candidates of ``text``."""
     spans = []
-    for found in CANDIDATE.finditer(text):
-        value = found.group()
-        kind = next((c for c in classes if c.member.fullmatch(value)), None)
-        if kind is None or len(value) < kind.width or any(p.fullmatch(value) for p in allowed):
-            continue
-        window, open_ = Window(), None
-        for i, char in enumerate(value):
-            window.add(char, 1)
-            if i >= kind.width:
-                window.add(value[i - kind.width], -1)
-            if i + 1 < kind.width:
-                continue
-            entropy = math.log2(kind.width) - window.mass / kind.width
-            if entropy < kind.bits - 1e-9:
-                continue
-            start, end = found.start() + i + 1 - kind.width, found.start() + i + 1
+    for first, value, kind in _scored(text, classes, allowed):
+        open_ = None
+        for start, end in _windows(value, kind):
+            start, end = first + start, first + end
             if open_ and start <= open_[1]:
                 open_[1] = end
             else:
@@ -108,6 +102,35 @@ def entropy_spans(text: str, classes=CLASSES, allowed=ALLOWED) -> list[tuple[int
     return [(a, b) for a, b in spans]
 
 
+def candidate_spans(text: str, classes=CLASSES, allowed=ALLOWED) -> list[tuple[int, int]]:
+    """Whole candidates of ``text`` that have a window of high entropy."""
+    return [
+        (first, first + len(value))
+        for first, value, kind in _scored(text, classes, allowed)
+        if next(_windows(value, kind), None)
+    ]
+
+
+def _scored(text: str, classes, allowed) -> Iterator[tuple[int, str, CharClass]]:
+    """Start, string and class of the candidates that are not allowed."""
+    for found in CANDIDATE.finditer(text):
+        value = found.group()
+        kind = next((c for c in classes if c.member.fullmatch(value)), None)
+        if kind and not any(p.fullmatch(value) for p in allowed):
+            yield found.start(), value, kind
+
+
+def _windows(value: str, kind: CharClass) -> Iterator[tuple[int, int]]:
+    """(start, end) of the windows at or above the threshold of ``kind``."""
+    window, width = Window(), min(kind.width, len(value))
+    for i, char in enumerate(value):
+        window.add(char, 1)
+        if i >= width:
+            window.add(value[i - width], -1)
+        if i + 1 >= width and math.log2(width) - window.mass / width >= kind.bits - 1e-9:
+            yield i + 1 - width, i + 1
+
+
 def pattern_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of known secrets, by start and then kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8]
@@ -118,7 +141,7 @@ def pattern_spans(text: str) -> list[tuple[int, str, int]]:
 
 def all_spans(text: str, base: list[tuple[int, str, int]] | None = None) -> list[tuple[int, str, int]]:
     """Pattern spans, ``base`` if known, and entropy spans, by start and then kind."""
-    found = (pattern_spans(text) if base is None else base) + [(a, "entropy", b) for a, b in entropy_spans(text)]
+    found = (pattern_spans(text) if base is None else base) + [(a, "entropy", b) for a, b in candidate_spans(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 

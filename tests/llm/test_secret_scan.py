@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 
 import cases
 import pytest
@@ -75,3 +77,25 @@ def test_redaction_keeps_the_rest(spark):
 def test_long_candidates_take_one_pass():
     for value in ("a" * 200_000 + "9" * 9, "Ab" * 100_000 + "-", "-a" * 100_000 + "=9"):
         scan.all_spans(f"token {value} x")
+
+
+# Single-case keys of letters alone look like words; of base32 so many have no digit.
+@pytest.mark.parametrize("alphabet, lost", [
+    ("0123456789abcdef", 0.005), (string.ascii_lowercase + string.digits, 0.01), (string.ascii_uppercase + string.digits, 0.01),
+    (string.ascii_uppercase + "234567", 0.025), (string.ascii_letters + string.digits, 0.005),
+    (string.ascii_letters + string.digits + "+/", 0.005), (string.ascii_letters + string.digits + "-_", 0.005),
+])
+@pytest.mark.parametrize("length", [20, 22, 32, 40])
+def test_random_keys_are_covered_whole(alphabet, lost, length):
+    rng = random.Random(length)
+    missed = 0
+    for _ in range(4000):
+        key = "".join(rng.choices(alphabet, k=length))
+        text = f"Mine: {key}. Yours"
+        missed += key[:4] in scan.redacted(text, scan.all_spans(text)) or key[-4:] in scan.redacted(text, scan.all_spans(text))
+    assert missed <= lost * 4000, missed / 4000
+
+
+@pytest.mark.parametrize("value", ["articles/2024/01/05/some-plain-title", "IMG_2024-01-05_Holiday-Photo"])
+def test_allowed_paths(value):
+    assert scan.candidate_spans(value) == []
