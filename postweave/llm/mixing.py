@@ -87,16 +87,21 @@ def replicate(
     """Copies of ``docs`` in global random order: doc_id, source, copy, shuffle_key.
 
     ``copy`` counts from 0. With ``keep`` the result has the struct ``row`` of
-    all columns as well. Rows with an equal id, and rows without one, draw the
-    same number. Empty texts count as one byte. An empty table gives no rows.
-    Rows are dealt out by the hash of the key and sorted by it within a
-    partition, so documents and copies of a source lie anywhere.
+    all columns as well. Rows with an equal id draw the same number; rows without
+    one draw by the hash of the row, so only equal ones draw the same. Empty texts
+    count as one byte. An empty table gives no rows. Rows are dealt out by the
+    hash of the key and sorted by it within a partition, so documents and copies
+    of a source lie anywhere.
     """
     rates = source_rates(spark, docs, weights, epochs)
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rates = rates.select(F.col("source").alias("rated"), "rate")
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    own = F.when(docs["doc_id"].isNull(), F.concat(F.lit("null:"), F.xxhash64(whole))).otherwise(
+        docs["doc_id"].cast("string")
+    )
     rows = docs.select(
-        "doc_id", "source", *([F.struct("*").alias("row")] if keep else [])
+        docs["doc_id"], docs["source"], own.alias("own"), *([whole.alias("row")] if keep else [])
     )
     joined = rows.join(
         F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("rated"))
@@ -105,7 +110,7 @@ def replicate(
     drawn = F.transform(
         F.sequence(F.lit(1), parts),
         lambda j: poisson(
-            uniform(F.col("doc_id"), F.lit(seed), j), F.col("rate") / parts
+            uniform(F.col("own"), F.lit(seed), j), F.col("rate") / parts
         ),
     )
     n = F.aggregate(drawn, F.lit(0), lambda a, b: a + b)
@@ -113,9 +118,7 @@ def replicate(
         "copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
     )
     key = F.conv(
-        F.substring(
-            F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-                              F.col("copy"), F.lit(f"{seed}-order"))), 1, 15), 16, 10,
+        F.substring(F.md5(F.concat_ws(":", "own", "copy", F.lit(f"{seed}-order"))), 1, 15), 16, 10,
     ).cast("long")
     out = copies.withColumn("shuffle_key", key)
     columns = ["doc_id", "source", F.col("copy").cast("int").alias("copy"), "shuffle_key"]

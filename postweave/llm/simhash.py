@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from postweave.llm.common import Staging, components, prepare
 from postweave.llm.ragged import portions, split_words
@@ -83,12 +84,11 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first += len(part)
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """(key, fp): the document's id and its fingerprint as a signed long."""
+def marked(docs: DataFrame, key: Column) -> DataFrame:
+    """(key, fp): ``key`` of each document and its fingerprint as a signed long."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("key"), "text").mapInArrow(
-        _marked, "key long, fp long"
-    )
+    rows = docs.select(key.alias("key"), docs["text"].alias("text"))
+    return rows.mapInArrow(_marked, rows.select("key").schema.add("fp", LongType()))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -118,6 +118,14 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
+def _placed(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """(fp, least, component) of the stored distinct fingerprints (fp, least)."""
+    found = components(spark, links(prints.select("fp")))
+    return prints.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")
+    )
+
+
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -127,12 +135,9 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     only a component of nothing else has a null id. Repeated rows stay.
     """
     staging = Staging(spark)
-    rows = staging(marked(docs), "fingerprints")
+    rows = staging(marked(docs, F.col("doc_id").cast("long")), "fingerprints")
     distinct = staging(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct-fingerprints")
-    found = components(spark, links(distinct.select("fp")))
-    placed = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    placed = _placed(spark, distinct)
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = placed.join(named, "component").select("fp", "component_id")
     return rows.join(ids, "fp").select(
@@ -143,15 +148,24 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def first_of_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all columns.
+    """One row of each group of ``groups``, with all columns of ``docs``.
 
-    Of rows that share that id one stays; documents without an id all stay.
+    The row with the smallest id stays, null ids last; of several with that id
+    the one with the smallest hash of all its columns. Equal rows are one. So a
+    group keeps one row whatever its ids, and an empty table gives none.
     """
-    own = groups(spark, docs).filter("doc_id = component_id").select(
-        F.col("doc_id").alias("group_id")
-    ).distinct()
-    packed = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    firsts = packed.filter("doc_id is not null").join(own, F.col("doc_id") == F.col("group_id"))
-    firsts = firsts.groupBy("doc_id").agg(F.first("row").alias("row"))
-    rest = packed.filter("doc_id is null")
-    return firsts.select("row").unionByName(rest.select("row")).select("row.*")
+    staging = Staging(spark)
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    none = docs["doc_id"].isNull()
+    # Never null, so the join below and the grouping share one exchange.
+    place = F.struct(
+        none.alias("none"), F.coalesce(docs["doc_id"], F.lit(0)).cast("long").alias("id"),
+        F.xxhash64(whole).alias("row_key"),
+    )
+    prints = staging(marked(docs, place).groupBy("fp").agg(F.min("key").alias("least")), "fingerprints")
+    firsts = _placed(spark, prints).groupBy("component").agg(F.min("least").alias("first")).select("first.*")
+    # Equal rows become one before they are dealt out.
+    rows = docs.select(place.alias("place"), whole.alias("row")).groupBy(
+        *[F.col(f"place.{c}").alias(c) for c in firsts.columns]
+    ).agg(F.any_value("row").alias("row"))
+    return rows.join(firsts, firsts.columns, "left_semi").select("row.*")

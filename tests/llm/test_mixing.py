@@ -35,11 +35,20 @@ def test_copies_equal_a_plain_draw(spark, weights):
     share = {s: math.sqrt(b) if weights is None else weights.get(s, 0.0) for s, b in size.items()}
     whole = sum(share.values())
     rate = {s: share[s] / whole * sum(size.values()) / size[s] if whole else 0.0 for s in size}
-    want = [(d, s, k) for d, _, _, s, _ in data for k in range(draw(d, rate[s]))]
+    want = [(d, s, k) for d, _, _, s, _ in data if d is not None for k in range(draw(d, rate[s]))]
     got = mixing.replicate(spark, docs, weights)
-    assert cases.tuples(got, "doc_id", "source", "copy") == sorted(want, key=repr)
+    assert cases.tuples(got.filter("doc_id is not null"), "doc_id", "source", "copy") == sorted(want, key=repr)
     kept = mixing.replicate(spark, docs, weights, keep=True)
-    assert kept.select("row.*").columns == docs.columns and kept.count() == len(want)
+    assert kept.select("row.*").columns == docs.columns and kept.count() == got.count()
+
+
+def test_documents_without_id(spark):
+    n = 1000
+    data = [(None, f"text {k}", "en", "s", 1) for k in range(n)]
+    got = mixing.replicate(spark, cases.documents(spark, data), keep=True)
+    assert abs(got.count() - n) < 5 * math.sqrt(n)
+    assert got.select("shuffle_key").distinct().count() == got.count()
+    assert got.select("row.text", "copy").distinct().count() == got.count()
 
 
 def test_large_rates_and_mean(spark):

@@ -60,12 +60,26 @@ def test_links_equal_brute_force(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    docs = cases.clashing(cases.documents(spark))
+    rng = random.Random(5)
+    a, b, c = (cases.sentence(rng, 80) for _ in range(3))
+    more = [(7, a), (7, b), (7, b), (None, a), (None, c), (None, c), (None, None), (7, b + " x")]
+    data = [*cases.rows(), *[(i, t, "en", "s", 1) for i, t in more]]
+    prints = [plain_fingerprint(t) for _, t, *_ in data]
+    near = [(i, j) for i in range(len(data)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    group = plain_components(near, range(len(data)))
+    least = {}
+    for i, (d, *_) in enumerate(data):
+        least[group[i]] = min(least.get(group[i], 2**63), 2**63 if d is None else d)
+    docs = cases.clashing(cases.documents(spark, data))
     kept = simhash.first_of_groups(spark, docs)
-    ids = sorted(r.doc_id for r in kept.filter("doc_id is not null").collect())
-    want = sorted({r.component_id for r in simhash.groups(spark, docs).collect()} - {None})
-    assert ids == want and kept.columns == docs.columns
-    assert kept.filter("doc_id is null").count() == 2
+    found = kept.select("doc_id", "text").collect()
+    assert sorted(2**63 if r.doc_id is None else r.doc_id for r in found) == sorted(least.values())
+    # One of each group: all texts that stay lie in different ones.
+    places = {t: group[i] for i, (_, t, *_) in enumerate(data)}
+    assert len({places[r.text] for r in found}) == len(found) == len(set(group.values()))
+    assert kept.columns == docs.columns
+    assert cases.tuples(simhash.first_of_groups(spark, docs), "doc_id", "text") == cases.tuples(kept, "doc_id", "text")
+    assert simhash.first_of_groups(spark, cases.documents(spark, [])).count() == 0
 
 
 def test_components_equal_union_find(spark):
