@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import line_rules, mixing, near_texts, packing, secret_scan
+from postweave.llm import line_rules, mixing, packing, secret_scan, simhash
 from postweave.session import stage
 
 
@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays."""
-    return near_texts.first_of_near(spark, docs)
+    """One row of each group of texts within two bits of SimHash stays, the smallest id."""
+    return simhash.first_of_groups(spark, docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
