@@ -9,6 +9,7 @@ from postweave.llm import (
     interpolation,
     line_dedup,
     line_rules,
+    merkle,
     mixing,
     near_vectors,
     packing,
@@ -70,6 +71,10 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(spark, documents(spark, sf))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(spark, documents(spark, sf))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +88,7 @@ QUERIES = {
         op8_virtual_shards,
         op9_token_counts,
         op10_simhash,
+        op13_merkle_manifest,
     )
 }
 
@@ -158,4 +164,66 @@ SELECT *, CAST('0x' || substr(md5(concat(doc_id, ':', copy, ':{mixing.SEED}-orde
   AS shuffle_key FROM copies
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op7_source_mix": MIX_SQL}
+
+
+def _field(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# Every level of every tree, the siblings of every leaf, and a CRC-32 by its table.
+MERKLE_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1
+      THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(b))),
+rows AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INT) + 1])), 4294967295) % 7 = 0
+      THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS changed
+  FROM documents, crc),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM rows),
+nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 1) // 2)
+  FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 2),
+roots AS (
+  SELECT tree, digest, level FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS pos, digest, count(*) OVER () AS n FROM roots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 1) // 2)
+  FROM tops WHERE n > 1 GROUP BY level, pos // 2),
+steps AS (
+  SELECT l.tree, l.pos, k.level, (l.pos >> CAST(k.level AS INT)) & 1 AS odd, s.digest
+  FROM leaves l JOIN roots r USING (tree) JOIN range(64) k(level) ON k.level < r.level
+  LEFT JOIN nodes s ON s.tree = l.tree AND s.level = k.level AND s.pos = xor(l.pos >> CAST(k.level AS INT), 1)
+  UNION ALL
+  SELECT l.tree, l.pos, 100 + k.level, (l.tree >> CAST(k.level AS INT)) & 1, s.digest
+  FROM leaves l JOIN (SELECT max(level) AS top FROM tops) x ON true JOIN range(64) k(level) ON k.level < x.top
+  LEFT JOIN tops s ON s.level = k.level AND s.pos = xor(l.tree >> CAST(k.level AS INT), 1)),
+ways AS (
+  SELECT tree, pos, string_agg(digest, '' ORDER BY level) AS proof,
+    list({{'odd': odd, 'd': coalesce(digest, '')}} ORDER BY level) AS way FROM steps GROUP BY tree, pos),
+done AS (
+  SELECT l.doc_id, l.leaf, r.digest AS subroot, (SELECT digest FROM tops WHERE n = 1) AS root,
+    sha256(coalesce(w.proof, '')) AS proof_sha256,
+    list_reduce([{{'odd': 0::BIGINT, 'd': l.changed}}] || coalesce(w.way, []), lambda a, b: {{'odd': 0::BIGINT,
+      'd': sha256(CASE WHEN b.odd = 1 THEN b.d || a.d ELSE a.d || b.d END)}}).d AS folded_root
+  FROM leaves l JOIN roots r USING (tree) LEFT JOIN ways w ON w.tree = l.tree AND w.pos = l.pos)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": QUALITY_SQL,
+    "op7_source_mix": MIX_SQL,
+    "op13_merkle_manifest": MERKLE_SQL,
+}
