@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweave.llm import (
+    filter_audit,
     interpolation,
     line_dedup,
     line_rules,
@@ -71,6 +72,11 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(spark, documents(spark, sf))
 
 
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return filter_audit.audit(spark, documents(spark, sf), labels)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(spark, documents(spark, sf))
 
@@ -88,6 +94,7 @@ QUERIES = {
         op8_virtual_shards,
         op9_token_counts,
         op10_simhash,
+        op12_filter_audit,
         op13_merkle_manifest,
     )
 }
@@ -222,8 +229,51 @@ done AS (
 SELECT *, folded_root = root AS verified FROM done
 """
 
+# Failed filters as a mask, counted per source; every order and step looks them up.
+AUDIT_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+marked AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+flags AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(ws) < {filter_audit.MIN_WORDS} AS INT)
+    + 2 * CAST(100 * len(list_distinct(ws)) < {filter_audit.MIN_DISTINCT} * len(ws) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {filter_audit.MAX_CAPITALS} * length(text) AS INT)
+    + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(d.doc_id > first, false) AS INT) AS mask
+  FROM d JOIN firsts USING (text) LEFT JOIN marked ON d.doc_id = marked.doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, mask),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, bit)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, CAST(s AS INT) AS step, bits[s] AS bit,
+    CAST(coalesce(list_sum(bits[1:s - 1]), 0) AS INT) AS before
+  FROM orders, range(1, 6) r(s)),
+found AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (mask & (before | bit) = 0) AS kept,
+    sum(n) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed,
+    sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant,
+    sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & bit <> 0 AND mask & before = 0) AS good_lost,
+    sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, {", ".join(
+    f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in filter_audit.COUNTS[:-1])},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley FROM found
+"""
+
 ORACLES: dict[str, str] = {
     "op5_quality_rules": QUALITY_SQL,
     "op7_source_mix": MIX_SQL,
+    "op12_filter_audit": AUDIT_SQL,
     "op13_merkle_manifest": MERKLE_SQL,
 }
