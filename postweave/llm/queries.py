@@ -17,6 +17,7 @@ from postweave.llm import (
     secret_scan,
     sharding,
     simhash,
+    subword_quality,
     token_counts,
 )
 
@@ -72,6 +73,11 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(spark, documents(spark, sf))
 
 
+def op11_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return subword_quality.scored(spark, documents(spark, sf), labels)
+
+
 def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     return filter_audit.audit(spark, documents(spark, sf), labels)
@@ -94,6 +100,7 @@ QUERIES = {
         op8_virtual_shards,
         op9_token_counts,
         op10_simhash,
+        op11_subword_quality,
         op12_filter_audit,
         op13_merkle_manifest,
     )
