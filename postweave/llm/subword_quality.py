@@ -36,14 +36,15 @@ RATE = 0.5
 HOLD = 5
 THRESHOLD = 0.3
 SEED = 11
-PORTION = 4 << 20
+# Bytes of text whose words and n-grams are held at once; a longer text is held alone.
+PORTION = 1 << 20
 
 _FACTOR = np.uint64(0x100000001B3)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
 def word_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,11 +64,11 @@ def word_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat[inner] = data
     flat[stops - 1] = 257
     powers = np.cumprod(np.full(int(sizes.max(initial=1)), _FACTOR, np.uint64))
-    place = np.arange(len(flat)) - np.repeat(starts, sizes)
+    place = np.arange(len(flat), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
     whole = np.add.reduceat((flat + np.uint64(1)) * powers[place], starts) if len(flat) else np.zeros(0, np.uint64)
-    owners, buckets = [np.arange(len(words))], [_bucket(whole)]
-    left = np.repeat(stops, sizes) - np.arange(len(flat))
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owners, buckets = [np.arange(len(words), dtype=np.int32)], [_bucket(whole)]
+    left = np.repeat(sizes.astype(np.int32), sizes) - place
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     for n in NGRAMS:
         at = np.flatnonzero(left >= n)
         found = np.full(len(at), n, np.uint64)
