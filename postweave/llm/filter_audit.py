@@ -29,7 +29,7 @@ MIN_DISTINCT = 50
 MAX_CAPITALS = 2
 MARKS = "#$%&*|"
 # Bytes of text in one shard; a longer text is a shard of its own.
-PORTION = 16 << 20
+PORTION = 8 << 20
 
 _MARKED = np.zeros(256, bool)
 _MARKED[list(MARKS.encode())] = True
@@ -124,49 +124,67 @@ def blocks(docs: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words in order: a number for each new one, its text only where it is new."""
+    from pyspark import TaskContext
+
+    at, last = (TaskContext.get().partitionId() << 33) - 1, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = batch.column("word")
+        fresh = np.ones(len(words), bool)
+        fresh[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+        fresh[0] = words[0].as_py() != last
+        ids = at + np.cumsum(fresh)
+        at, last = int(ids[-1]), words[-1].as_py()
+        new = pc.if_else(pa.array(fresh), words, pa.scalar(None, words.type))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("block"), batch.column("place"), pa.array(ids), new], names=["block", "place", "id", "word"]
+        )
+
+
 def dictionary(staging: Staging, words: DataFrame) -> DataFrame:
-    """(word, id) of all distinct words, ids dense from 0; stored."""
-    found = staging(words.select("word").distinct().withColumn("line", F.monotonically_increasing_id()), "audit-words")
-    found = found.withColumn("part", F.shiftright("line", 33))
-    # One row per task that has written words.
-    sizes = sorted((r.part, r.n) for r in found.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    """(block, place, id, word): the number of each word, dense from 0; ``word`` is
+    given once for each number, so these rows are the dictionary."""
+    dealt = words.repartition("word").sortWithinPartitions("word")
+    found = staging(dealt.mapInArrow(_numbered, "block long, place int, id long, word string"), "audit-words")
+    found = found.withColumn("part", F.shiftright("id", 33))
+    # One row per task that has numbered words.
+    sizes = sorted((r.part, r.n) for r in found.groupBy("part").agg(F.count("word").alias("n")).collect())
     starts, total = [], 0
     for part, n in sizes:
         starts.append((part, total))
         total += n
     starts = staging.spark.createDataFrame(starts, "part long, start long")
-    at = F.col("start") + F.col("line") - F.shiftleft("part", 33)
-    return found.join(F.broadcast(starts), "part").select("word", at.alias("id"))
+    dense = (F.col("start") + F.col("id") - F.shiftleft("part", 33)).cast("long")
+    return found.join(F.broadcast(starts), "part").select("block", "place", dense.alias("id"), "word")
+
+
+def _encoded(shard: pa.Table, ids: pa.Table) -> pa.Table:
+    """A shard with the ids of its words as columns."""
+    entries, columns, values = unpack(shard.column("matrix")[0].as_py())
+    own = np.empty(len(ids), np.int64)
+    own[ids.column("place").to_numpy()] = ids.column("id").to_numpy()
+    packed = pa.array([pack(entries, own[columns] if len(columns) else columns, values)], pa.binary())
+    return pa.Table.from_arrays([shard.column("block"), shard.column("docs"), packed], ["block", "docs", "matrix"])
 
 
 def matrix_shards(staging: Staging, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The encoded shards (block, docs, matrix), stored, and their dictionary.
+    """The encoded shards (block, docs, matrix), stored, and the dictionary (word, id).
 
     A word is sent once per shard that holds it, whatever its number of places.
     """
     local = staging(blocks(docs), "audit-blocks")
     words = local.select("block", F.posexplode("words").alias("place", "word"))
     known = dictionary(staging, words)
-    coded = words.join(known, "word").groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("place", "id"))).alias("ids")
-    )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for packed, ids in zip(batch.column(2), batch.column(3), strict=True):
-                entries, columns, values = unpack(packed.as_py())
-                if len(columns):
-                    columns = ids.values.field("id").to_numpy(zero_copy_only=False)[columns]
-                out.append(pack(entries, columns, values))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(out, pa.binary())], names=["block", "docs", "matrix"]
-            )
-
+    coded = known.select("block", "place", "id")
     kept = local.select("block", "docs", "matrix")
-    shards = staging(kept.join(coded, "block", "left").mapInArrow(work, kept.schema), "audit-shards")
+    shards = staging(
+        kept.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_encoded, kept.schema), "audit-shards"
+    )
     staging.drop(local)
-    return shards, known
+    return shards, known.filter("word is not null").select("word", "id")
 
 
 def word_flags(shards: DataFrame) -> DataFrame:
