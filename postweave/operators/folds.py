@@ -56,6 +56,16 @@ def nested_folds(sample: DataFrame, outer: int, inner: int, only: int | None = N
     ).drop("rank", "class_rows")
 
 
+def write_folds(folds: DataFrame, path: str) -> DataFrame:
+    """The fold table stored by (outer_fold, inner_fold), and read back.
+
+    The test part of an outer fold is the partition without an inner fold. Reading
+    the parts of one fold opens its folders alone.
+    """
+    folds.write.mode("overwrite").partitionBy("outer_fold", "inner_fold").parquet(path)
+    return folds.sparkSession.read.schema(folds.schema).parquet(path).select(folds.columns)
+
+
 def split_ids(folds: DataFrame, outer: int, cv: int | str) -> tuple[DataFrame, DataFrame]:
     """Training and validation ids of one fold; ``cv='all'`` trains on every inner
     fold and validates on the outer test part."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,19 +63,67 @@ def experiment_key(
     return f"{project}_{grid}_{algorithm}_{'_'.join(static)}_{fitted}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _note(spark: SparkSession, folder: str, key: str, row: tuple, schema: str) -> None:
+    """One row in a folder of its own, so that any number of writers may note at once."""
+    entry = hashlib.md5(key.encode()).hexdigest()
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/entry={entry}")
+
+
+def finished(spark: SparkSession, ledger: str) -> set[str]:
+    """Keys recorded in a ledger, at most one per cell of a configured grid."""
+    if not exists(spark, ledger):
+        return set()
+    return {r.key for r in spark.read.schema("key string").parquet(ledger).select("key").collect()}
+
+
+def record(spark: SparkSession, ledger: str, key: str) -> None:
+    """Note a key as finished; call it after what the key stands for is stored."""
+    _note(spark, ledger, key, (key,), "key string")
+
+
+MANIFEST = "feature string, param_key string, cv string, kind string"
+
+
 def write_feature(df: DataFrame, root: str, name: str, key: str, cv: int | str) -> None:
-    """Store a fitted feature under (feature, param_key, cv)."""
-    keyed = df.withColumns(
-        {"feature": F.lit(name), "param_key": F.lit(key), "cv": F.lit(str(cv))}
-    )
-    write_table(keyed, root, "feature", "param_key", "cv")
+    """Store a fitted feature under (param_key, cv) in the folder of its name.
+
+    Each feature has a folder and so a schema of its own: arrays, vectors and
+    numbers lie side by side. The manifest names a feature only after its data are
+    written, so a feature of a broken run is fitted again.
+    """
+    keyed = df.withColumns({"param_key": F.lit(key), "cv": F.lit(str(cv))})
+    write_table(keyed, f"{root}/{name}", "param_key", "cv")
+    kind = df.schema["features"].dataType.simpleString() if "features" in df.columns else ""
+    _note(df.sparkSession, f"{root}-manifest", key, (name, key, str(cv), kind), MANIFEST)
+
+
+def feature_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(feature, param_key, cv, kind) of every feature that is stored whole."""
+    if not exists(spark, f"{root}-manifest"):
+        return spark.createDataFrame([], MANIFEST)
+    noted = spark.read.schema(MANIFEST).parquet(f"{root}-manifest")
+    return noted.select("feature", "param_key", "cv", "kind")
+
+
+def read_features(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Everything stored of one feature: (id, features, param_key, cv)."""
+    path = f"{root}/{name}"
+    whole = spark.read.option("basePath", path).parquet(path).withColumn("cv", F.col("cv").cast("string"))
+    done = feature_manifest(spark, root).filter(F.col("feature") == name).select("param_key", "cv")
+    return whole.join(F.broadcast(done), ["param_key", "cv"], "left_semi")
 
 
 def read_feature(
     spark: SparkSession, root: str, name: str, key: str, cv: int | str
 ) -> DataFrame:
     """One fitted feature; only its partition is read."""
-    stored = spark.read.option("basePath", root).parquet(root)
+    path = f"{root}/{name}"
+    stored = spark.read.option("basePath", path).parquet(path)
     return stored.filter(
-        (F.col("feature") == name) & (F.col("param_key") == key) & (F.col("cv") == str(cv))
-    ).drop("feature", "param_key", "cv")
+        (F.col("param_key") == key) & (F.col("cv").cast("string") == str(cv))
+    ).drop("param_key", "cv")

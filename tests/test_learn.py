@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from postweave.operators import folds as fo
@@ -9,7 +10,9 @@ from postweave.operators import regress as rg
 from postweave.operators import search as se
 from postweave.operators import topics as tp
 from postweave.operators.dynamic_features import FEATURE_TYPES, fold_feature
-from postweave.operators.learners import _kernel, fit_classifier, fit_kernel, predictions
+from postweave.operators import dual
+from postweave.operators.learners import fit_classifier, kernel_of, predictions, prepare_training
+from postweave.operators.sparse_rows import Gram, Kernel, Rows, Shape, scaled_rows, shape_of
 
 
 def test_scaling(spark):
@@ -23,6 +26,12 @@ def test_scaling(spark):
     assert scaled["c"].tolist() == [0, 0, 0]
 
 
+def _sparse(df, width):
+    """(id, label, features) as sparse rows without any scaling."""
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: k.cast("int"))
+    return df.select("id", "label", numbers.alias("columns"), vector_to_array("features").alias("values")), Shape(width, np.zeros(width))
+
+
 def _circle(spark, n=300):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(n, 2))
@@ -32,28 +41,98 @@ def _circle(spark, n=300):
     return df.select("id", "label", array_to_vector("x").alias("features")).repartition(2)
 
 
-@pytest.mark.parametrize("name", ["rbf", "poly"])
-def test_kernel_map_reproduces_the_kernel(spark, name):
-    df = _circle(spark, 40)
-    shape = {"gamma": 0.5, "coef0": 1.0, "degree": 2.0}
-    kernel = fit_kernel(df, "id", name, landmarks=40, **shape)
-    rows = df.select(
-        vector_to_array("features").alias("x"),
-        vector_to_array(kernel.column(F.col("features"))).alias("z"),
-    ).collect()
-    x, z = np.array([r.x for r in rows]), np.array([r.z for r in rows])
-    assert np.allclose(z @ z.T, _kernel(name, x, x, 0.5, 1.0, 2.0), atol=1e-4)
+def _dense_kernel(kernel, x, y):
+    inner = x @ y.T
+    if kernel.name == "rbf":
+        gap = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * inner
+        return np.exp(-kernel.gamma * gap)
+    if kernel.name == "poly":
+        return (kernel.gamma * inner + kernel.coef0) ** kernel.degree
+    return np.tanh(kernel.gamma * inner + kernel.coef0) if kernel.name == "sigmoid" else inner
 
 
-def test_kernel_separates_what_a_line_cannot(spark):
-    df = _circle(spark)
+@pytest.mark.parametrize("name", ["linear", "rbf", "poly", "sigmoid"])
+@pytest.mark.parametrize("width", [7, 600])
+def test_kernels_of_shifted_sparse_rows(name, width):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, width)) * (rng.random((30, width)) < 0.2)
+    x[4] = 0
+    shift = rng.normal(size=width) * 0.1
+    at = [np.flatnonzero(r) for r in x]
+    rows = Rows(np.cumsum([len(a) for a in at]), np.concatenate(at), np.concatenate([r[a] for r, a in zip(x, at)]))
+    kernel = Kernel(name, 0.05, 1.0, 2.0, Shape(width, shift))
+    want = _dense_kernel(kernel, x - shift, x - shift)
+    gram = Gram(kernel, rows)
+    assert np.allclose([gram.column(i) for i in range(30)], want)
+    assert np.allclose(gram.diagonal(), np.diag(want))
+    weights = rng.normal(size=30)
+    assert np.allclose(gram.combined(rows, weights), want @ weights)
+
+
+def _plain_dual(values, y, cost, rounds=200_000):
+    """Sequential pairs on a whole matrix of kernel values."""
+    alpha, f = np.zeros(len(y)), np.zeros(len(y))
+    for _ in range(rounds):
+        up = ((y > 0) & (alpha < cost - 1e-9)) | ((y < 0) & (alpha > 1e-9))
+        low = ((y > 0) & (alpha > 1e-9)) | ((y < 0) & (alpha < cost - 1e-9))
+        score = y - f
+        i, j = np.argmax(np.where(up, score, -np.inf)), np.argmin(np.where(low, score, np.inf))
+        if score[i] - score[j] < 1e-6:
+            break
+        step = (score[i] - score[j]) / max(values[i, i] + values[j, j] - 2 * values[i, j], 1e-12)
+        step = min(step, cost - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else cost - alpha[j])
+        alpha[i] += y[i] * step
+        alpha[j] -= y[j] * step
+        f += step * (values[i] - values[j])
+    return alpha.sum() - (alpha * y) @ f / 2
+
+
+@pytest.mark.parametrize("name", ["linear", "rbf", "poly"])
+@pytest.mark.parametrize("cost", [0.1, 5.0])
+def test_the_dual_value_equals_an_exact_solve(spark, name, cost, monkeypatch):
+    # Blocks and working sets far smaller than the rows: many rounds.
+    monkeypatch.setattr(dual, "BLOCK_ROWS", 50)
+    df = _circle(spark, 180)
+    rows, shape = _sparse(df, 2)
+    training = prepare_training(rows, "id", shape)
+    assert training.stored.count() >= 4
+    params = {"kernel": name, "gamma": 0.5, "degree": 2.0}
+    kernel = kernel_of(params, shape)
+    found = dual.solve(training.blocks, training.parts, training.n_blocks, kernel, 0, 1, cost, working=40)
+    assert found.converged and found.rounds > 0
+    assert 0 <= found.gap <= 1e-3 * found.primal and found.breach <= dual.TOLERANCE
+    data = df.collect()
+    x, y = np.array([r.features.toArray() for r in data]), np.array([1.0 if r.label else -1.0 for r in data])
+    assert found.dual == pytest.approx(_plain_dual(_dense_kernel(kernel, x, x), y, cost), rel=2e-3)
+    # The multipliers are feasible, and the linear weights give both values again.
+    state = [(np.frombuffer(r.y), np.frombuffer(r.alpha)) for r in found.state.collect()]
+    y, alpha = (np.concatenate(v) for v in zip(*state))
+    assert abs(y @ alpha) < 1e-8 * cost * len(y) and alpha.min() >= 0 and alpha.max() <= cost
+    if name == "linear":
+        w = dual.linear_weights(dual.support(training.blocks, found.state, training.parts), shape)
+        y = np.array([1.0 if r.label else -1.0 for r in data])
+        again = w @ w / 2 + cost * np.maximum(1 - y * (x @ w + found.offset), 0).sum()
+        assert again == pytest.approx(found.primal, rel=1e-9)
+        assert alpha.sum() - w @ w / 2 == pytest.approx(found.dual, rel=1e-9)
+    training.release()
+
+
+def test_kernel_separates_what_a_line_cannot(spark, monkeypatch):
+    rows, shape = _sparse(_circle(spark), 2)
 
     def accuracy(params):
-        found = predictions(fit_classifier(df, "id", params, 64, max_iter=25), df, "id")
-        return found.agg(F.avg((F.col("pred") == F.col("true")).cast("double"))).first()[0]
+        model = fit_classifier(rows, "id", params, shape)
+        assert model.converged
+        found = predictions(model, rows, "id")
+        return found.agg(F.avg((F.col("pred") == F.col("true")).cast("double"))).first()[0], found
 
-    assert accuracy({"kernel": "rbf", "cost": 10.0, "gamma": 0.5}) > 0.93
-    assert accuracy({"kernel": "linear", "cost": 1.0}) < 0.8
+    curved, found = accuracy({"kernel": "rbf", "cost": 10.0, "gamma": 0.5})
+    assert curved > 0.97
+    assert accuracy({"kernel": "linear", "cost": 1.0})[0] < 0.8
+    # Vectors sent in chunks give the same predictions.
+    monkeypatch.setattr(dual, "CHUNK", 7)
+    again = accuracy({"kernel": "rbf", "cost": 10.0, "gamma": 0.5})[1]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, again.collect()))
 
 
 def test_three_classes(spark):
@@ -61,7 +140,8 @@ def test_three_classes(spark):
     df = spark.createDataFrame(rows, "id long, label string, x array<double>").select(
         "id", "label", array_to_vector("x").alias("features")
     )
-    found = predictions(fit_classifier(df, "id", {"cost": 1.0}, max_iter=5), df, "id")
+    rows, shape = _sparse(df, 2)
+    found = predictions(fit_classifier(rows, "id", {"cost": 1.0}, shape), rows, "id")
     assert found.filter(F.col("pred") != F.col("true")).count() == 0
 
 
@@ -75,11 +155,11 @@ def test_search_and_final_models(spark):
     grid = [
         {"kernel": k, "cost": 1.0, "gamma": 0.5, "cv": cv} for k in ("linear", "rbf") for cv in (0, 1)
     ]
-    found = se.parameter_search(folds, features, labels, "id", grid, landmarks=32, max_iter=10)
+    found = se.parameter_search(folds, features, labels, "id", grid)
     inner = folds.filter("inner_fold is not null").count()
     assert found.groupBy("kernel").count().collect()[0]["count"] == inner
     best = [{"metric": m, "kernel": "rbf", "cost": 1.0, "gamma": 0.5} for m in ("accuracy", "true")]
-    tests = se.final_models(best, folds, features, labels, "id", landmarks=32, max_iter=10)
+    tests = se.final_models(best, folds, features, labels, "id")
     outer = folds.filter("inner_fold is null").count()
     assert {r.metric: r["count"] for r in tests.groupBy("metric").count().collect()} == {
         "accuracy": outer, "true": outer,
@@ -157,6 +237,12 @@ def test_nothing_to_learn_from(spark):
     assert {tuple(r.features) for r in found.collect()} == {(0.0,)}
 
 
+def _whole(row, shape):
+    out = -shape.shift
+    np.add.at(out, row["columns"], row["values"])
+    return out
+
+
 def test_a_vector_feature_reaches_a_classifier(spark):
     texts = {0: "dog cat fish", 1: "bolt nail screw"}
     rows = [(i, texts[i % 2], i % 2 == 1, float(i)) for i in range(40)]
@@ -169,11 +255,12 @@ def test_a_vector_feature_reaches_a_classifier(spark):
     table = df.select("id", "n", F.array(F.col("n"), F.lit(1.0)).alias("pair")).join(
         bow.withColumnRenamed("features", "bow.counts"), "id", "left"
     )
-    train, valid = se.fold_matrix(folds, table, labels, "id", 0, 0)
-    x = np.array([r.features.toArray() for r in train.collect()])
+    matrix = se.fold_matrix(folds, table, labels, "id", 0, 0)
+    x = np.array([_whole(r, matrix.shape) for r in matrix.train.collect()])
     assert x.shape[1] == 9 and np.allclose(x.mean(0), 0)
     assert all(np.isclose(v, 1) or np.isclose(v, 0) for v in x.std(0))
-    found = predictions(fit_classifier(train, "id", {"cost": 1.0}), valid, "id")
+    model = fit_classifier(matrix.train, "id", {"cost": 1.0}, matrix.shape)
+    found = predictions(model, matrix.valid, "id")
     assert found.count() and found.filter(F.col("pred") != F.col("true")).count() == 0
 
 
@@ -186,19 +273,69 @@ def test_wide_vectors_scale_in_one_plan(spark):
     df = df.withColumn("v", F.when(F.col("id") < 5, F.col("v")))
     scaling = mx.fit_vector_scaling(df, "v")
     assert len(scaling.mean) == wide and scaling.mean[0] == pytest.approx(6 / 5)
-    scaled = {r.id: r.v.toArray() for r in mx.scale_vectors(df, "v", scaling).collect()}
-    assert not scaled[5].any() and not scaled[0][5:].any()
+    parts = mx.fit_parts(df, ["v"])
+    shape = shape_of(parts)
+    rows = {r.id: r for r in scaled_rows(df, parts, ["id"]).collect()}
+    assert [len(rows[i]["values"]) for i in range(5)] == [1] * 5
+    scaled = {i: _whole(r, shape) for i, r in rows.items()}
+    assert np.allclose(scaled[5], 0) and not scaled[0][5:].any()
     assert np.std([scaled[i][0] for i in range(6)]) == pytest.approx(1)
 
 
+def test_scaled_rows_of_every_kind(spark):
+    """Sparse and dense vectors, arrays, gaps and not-a-number against plain arrays."""
+    rows = [
+        (1, 2.0, Vectors.sparse(4, [1, 3], [1.0, 2.0]), [1.0, 0.0]),
+        (2, None, Vectors.dense([0.0, 1.0, 5.0, 0.0]), None),
+        (3, float("nan"), None, [3.0, 4.0]),
+        (4, 6.0, Vectors.sparse(4, [], []), [0.0, 0.0]),
+    ]
+    df = spark.createDataFrame(rows, ["id", "n", "v", "a"]).withColumn("a", F.col("a").cast("array<double>"))
+    df = mx.as_vectors(df, ["a"]).withColumn("gone", F.lit(None).cast("double"))
+    parts = mx.fit_parts(df, ["v", "gone", "n", "a"])
+    assert [p.name for p in parts] == ["v", "n", "a"] and parts[-1].at == 5
+    shape = shape_of(parts)
+    got = np.array([_whole(r, shape) for r in scaled_rows(df, parts, ["id"]).orderBy("id").collect()])
+    v = np.array([[0, 1, 0, 2], [0, 1, 5, 0], [np.nan] * 4, [0, 0, 0, 0]])
+    whole = np.hstack([v, [[2], [np.nan], [np.nan], [6]], [[1, 0], [np.nan] * 2, [3, 4], [0, 0]]])
+    filled = np.where(np.isnan(whole), np.nanmean(whole, axis=0), whole)
+    std = filled.std(axis=0)
+    assert np.allclose(got, (filled - filled.mean(axis=0)) / np.where(std > 0, std, 1))
+
+
+def test_a_wide_sparse_matrix_is_learned_in_little_memory(spark):
+    """20,000 posts over 100,000 terms: a dense matrix would have 16 GB."""
+    width, n = 100_000, 20_000
+    at = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(width // 2)).cast("int"))))
+    label = F.col("id") % 2 == 1
+    mark = F.when(label, F.lit(width - 1)).otherwise(F.lit(width - 2)).cast("int")
+    places = F.concat(at, F.array(mark))
+    rows = spark.range(n).select("id", label.alias("label"), places.alias("columns"), F.transform(places, lambda _: F.lit(1.0)).alias("values"))
+    shape = Shape(width, np.r_[np.full(width - 2, 1e-4), 0.5, 0.5])
+    model = fit_classifier(rows, "id", {"cost": 1.0}, shape)
+    assert model.converged and model.models[0].gap <= 1e-3 * model.models[0].primal
+    found = predictions(model, rows, "id")
+    assert found.filter(F.col("pred") != F.col("true")).count() == 0
+
+
 def test_missing_parameters_read_one(spark):
-    df = _circle(spark, 60)
+    rows, shape = _sparse(_circle(spark, 60), 2)
     for kernel in ("rbf", "sigmoid", "poly"):
-        short = fit_classifier(df, "id", {"kernel": kernel, "gamma": None}, 16, max_iter=3)
+        short = fit_classifier(rows, "id", {"kernel": kernel, "gamma": None}, shape)
         full = {"kernel": kernel, "cost": 1.0, "gamma": 1.0, "coef0": 1.0, "degree": 1.0}
-        long = fit_classifier(df, "id", full, 16, max_iter=3)
+        long = fit_classifier(rows, "id", full, shape)
         assert short.kernel.gamma == short.kernel.coef0 == short.kernel.degree == 1.0
-        assert np.allclose(short.models[0][2].coefficients.toArray(), long.models[0][2].coefficients.toArray())
-        assert not short.converged
+        assert short.models[0].dual == pytest.approx(long.models[0].dual)
+    assert not fit_classifier(rows, "id", {"kernel": "rbf", "cost": 5.0}, shape, max_rounds=0).converged
+    with pytest.raises(ValueError):
+        fit_classifier(rows, "id", {"cost": 0}, shape)
     with pytest.raises(ValueError):
-        fit_classifier(df, "id", {"cost": 0})
+        fit_classifier(rows, "id", {"kernel": "other"}, shape)
+
+
+def test_one_class_and_no_rows(spark):
+    rows, shape = _sparse(_circle(spark, 40), 2)
+    one = rows.filter("label")
+    assert {r.pred for r in predictions(fit_classifier(one, "id", {}, shape), rows, "id").collect()} == {True}
+    none = fit_classifier(rows.filter("false"), "id", {}, shape)
+    assert none.converged and {r.pred for r in none.predict(rows).collect()} == {None}
