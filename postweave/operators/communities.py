@@ -1,10 +1,13 @@
 """Modularity communities by repeated local moves, and their features.
 
-Every tag starts alone. In a round, half of the tags (by a hash of tag and
-round) look at the communities of their neighbours and move to the one with the
-largest modularity gain, the smallest label winning ties. Settled communities
-are merged into single vertices and the moves start again on the smaller graph.
-All quantities compared are whole numbers, so a run is repeatable.
+Every tag starts alone. Each tag knows the neighbouring community that raises the
+modularity most, the smallest label winning ties. In a round some of the tags that
+gain by moving do so, chosen by a hash of tag and round; as they move at once, a
+round counts only if the modularity has grown. Every few rounds the single best
+move is made alone, which always gains, so rounds go on until no tag gains. Settled
+communities are merged into single vertices and the moves start again on the
+smaller graph, until a level moves nothing. All quantities compared are whole
+numbers, so a run is repeatable.
 """
 
 from __future__ import annotations
@@ -17,84 +20,143 @@ from pyspark.sql import functions as F
 from postweave.functions.text import tag_set
 from postweave.operators.ranking import hash_rank
 from postweave.operators.tag_graph import both_ways
-from postweave.session import broadcast_if_small, stage, stage_until, unstage
+from postweave.session import broadcast_if_small, stage, unstage
 
-# Rounds of moves before settled communities are merged.
-ROUNDS = 8
+# First hex digit below which a tag moves in a round, by turn; None: the best alone.
+TURNS = ("c", "8", "8", "8", "4", None)
+# Links from which on only tags whose choice can have changed choose again. Both
+# ways give the same choices; below, reading all links is the cheaper one.
+FRONTIER_LINKS = 1_000_000
 WHOLE = "decimal(38,0)"
+RESTLESS = "best_loss < own_loss"
 
 
-def _may_move(vertex: Column, turn: int) -> Column:
-    return F.substring(F.md5(F.concat(vertex, F.lit(f":{turn}"))), 1, 1) < "8"
+def _choices(links: DataFrame, state: DataFrame, total: int, only: DataFrame | None = None) -> DataFrame:
+    """(v, k, c, best, best_loss, own_loss, inside) of the vertices in ``only``, or of all.
 
-
-def _local_round(sym: DataFrame, state: DataFrame, total: int, turn: int) -> DataFrame:
-    """One round of moves over state (v, c, k); k is the weighted degree of v.
-
-    ``sym`` is (a, b, weight, k) with the degree of a. Links into each neighbouring
-    community are summed per vertex, then the best community is kept per vertex:
-    two combining shuffles of the links.
+    ``links`` is (a, b, weight, k) without loops, with the weighted degree k of a, and
+    ``state`` (v, k, c); ``inside`` is the weight of v's links into its own community.
+    Links into each neighbouring community are summed per vertex, then the best
+    community is kept: two combining shuffles.
     """
+    own = state
+    if only is not None:
+        links = links.join(only.select(F.col("v").alias("a")), "a", "left_semi")
+        own = state.join(only, "v", "left_semi")
     where = state.select(F.col("v").alias("b"), "c")
-    near = (
-        sym.filter(F.col("a") != F.col("b"))
-        .join(where, "b")
-        .select(F.col("a").alias("v"), "k", "c", "weight", F.lit(False).alias("own"))
-    )
+    near = links.join(where, "b").select(F.col("a").alias("v"), "k", "c", "weight", F.lit(False).alias("stays"))
     # The own community is always a choice, also without a link into it.
-    zero = F.lit(0).cast("long").alias("weight")
-    stay = state.select("v", "k", "c", zero, F.lit(True).alias("own"))
-    links = near.unionByName(stay).groupBy("v", "k", "c").agg(
-        F.sum("weight").alias("inside"), F.bool_or("own").alias("own")
+    stay = own.select("v", "k", "c", F.lit(0).cast("long").alias("weight"), F.lit(True).alias("stays"))
+    sums = near.unionByName(stay).groupBy("v", "k", "c").agg(
+        F.sum("weight").alias("inside"), F.bool_or("stays").alias("stays")
     )
-    sizes = state.groupBy("c").agg(F.sum("k").alias("c_degree"))
-    others = F.col("c_degree") - F.when(F.col("own"), F.col("k")).otherwise(0)
+    sizes = state.groupBy("c").agg(F.sum("k").alias("degree"))
+    others = F.col("degree") - F.when(F.col("stays"), F.col("k")).otherwise(0)
     # Loss form: k * (degree of the others) - 2m * (links into the community).
-    loss = F.col("k").cast("decimal(19,0)") * others.cast("decimal(19,0)") - F.col(
-        "inside"
-    ).cast("decimal(19,0)") * F.lit(total).cast("decimal(19,0)")
-    choices = links.join(sizes, "c").withColumn("loss", loss.cast(WHOLE))
-    best = choices.groupBy("v", "k").agg(
+    loss = F.col("k").cast("decimal(19,0)") * others.cast("decimal(19,0)") - F.col("inside").cast(
+        "decimal(19,0)"
+    ) * F.lit(total).cast("decimal(19,0)")
+    return sums.join(sizes, "c").withColumn("loss", loss.cast(WHOLE)).groupBy("v", "k").agg(
         F.min(F.struct("loss", "c")).alias("best"),
-        F.min(F.when(F.col("own"), F.struct("loss", "c"))).alias("own"),
+        F.min(F.when(F.col("stays"), F.struct("loss", "c", "inside"))).alias("own"),
+    ).select(
+        "v", "k", "own.c", F.col("best.c").alias("best"), F.col("best.loss").alias("best_loss"),
+        F.col("own.loss").alias("own_loss"), "own.inside",
     )
-    better = F.col("best.loss") < F.col("own.loss")
-    goes = better & _may_move(F.col("v"), turn)
-    return best.select(
-        "v",
-        F.when(goes, F.col("best.c")).otherwise(F.col("own.c")).alias("c"),
-        "k",
-        better.alias("restless"),
+
+
+def _by_hash(turn: int) -> Column:
+    """Whether a tag that gains is among those that move in a turn of many."""
+    digit = F.substring(F.md5(F.concat("v", F.lit(f":{turn}"))), 1, 1)
+    return F.expr(RESTLESS) & (digit < TURNS[turn % len(TURNS)])
+
+
+def _moves(state: DataFrame, turn: int) -> Column:
+    """Whether a tag moves in a turn."""
+    if TURNS[turn % len(TURNS)] is not None:
+        return _by_hash(turn)
+    best = state.filter(RESTLESS).orderBy(F.expr("best_loss - own_loss"), "v").select("v").limit(1).collect()
+    return F.col("v") == F.lit(best[0].v)
+
+
+def _score(state: DataFrame, total: int, turn: int) -> tuple[int, list[int]]:
+    """2m * (links inside) - squared degrees, which rises with the modularity, and
+    the turns of the next cycle in which some tag would move; none if no tag gains."""
+    turns = range(turn, turn + len(TURNS))
+    goes = [F.expr(RESTLESS) if TURNS[t % len(TURNS)] is None else _by_hash(t) for t in turns]
+    parts = state.groupBy("c").agg(
+        F.sum("k").cast("decimal(19,0)").alias("degree"), F.sum("inside").alias("inside"),
+        *[F.max(g).alias(f"t{t}") for t, g in zip(turns, goes)],
     )
+    row = parts.agg(
+        F.sum("inside"), F.sum((F.col("degree") * F.col("degree")).cast(WHOLE)), *[F.max(f"t{t}") for t in turns]
+    ).first()
+    return total * int(row[0] or 0) - int(row[1] or 0), [t for t, any_ in zip(turns, row[2:]) if any_]
 
 
-def find_communities(
-    edges: DataFrame, levels: int | None = None, rounds: int = ROUNDS
-) -> DataFrame:
+def _frontier(links: DataFrame, after: DataFrame) -> DataFrame:
+    """(v) of the tags in a community that someone left or joined, and their neighbours."""
+    touched = after.filter("to <> c").select(F.explode(F.array("c", "to")).alias("to")).distinct()
+    inner = after.join(touched, "to", "left_semi").select("v")
+    outer = links.join(inner.select(F.col("v").alias("b")), "b", "left_semi").select(F.col("a").alias("v"))
+    return stage(inner.union(outer).distinct(), "frontier")
+
+
+def _round(links: DataFrame, state: DataFrame, total: int, turn: int, large: bool) -> DataFrame:
+    """The state after the moves of a turn; stored."""
+    to = F.when(_moves(state, turn), F.col("best")).otherwise(F.col("c"))
+    after = state.select("v", "k", to.alias("to"), "c", "best", "best_loss", "own_loss", "inside")
+    moved = after.select("v", "k", F.col("to").alias("c"))
+    if not large:
+        return stage(_choices(links, moved, total), "communities")
+    front = _frontier(links, after)
+    # A tag outside has not moved, and nothing that it looks at has changed.
+    rest = state.join(front, "v", "left_anti")
+    step = stage(_choices(links, moved, total, front).unionByName(rest), "communities")
+    unstage(front)
+    return step
+
+
+def _settled(links: DataFrame, start: DataFrame, total: int) -> DataFrame:
+    """(v, k, c, ..) after moves from ``start`` (v, k, c) until no tag gains; stored."""
+    large = links.limit(FRONTIER_LINKS + 1).count() > FRONTIER_LINKS
+    state = stage(_choices(links, start, total), "communities")
+    score, turns = _score(state, total, 0)
+    turn = 0
+    while turns:
+        # Turns in which no tag would move are passed over.
+        later = [t for t in turns if t >= turn]
+        if not later:
+            score, turns = _score(state, total, turn)
+            continue
+        turn = later[0] + 1
+        step = _round(links, state, total, later[0], large)
+        new_score, new_turns = _score(step, total, turn)
+        if new_score > score:
+            unstage(state)
+            state, score, turns = step, new_score, new_turns
+        else:
+            unstage(step)
+    return state
+
+
+def find_communities(edges: DataFrame, levels: int | None = None) -> DataFrame:
     """(tag, label) for every vertex of (src, dst, weight); the label is a tag.
 
-    Merging goes on until a level moves nothing, or for ``levels`` levels. Each
-    round is stored in the shared folder and replaces the one before. Stopping
-    once no tag wants to move gives the same result as running all rounds.
+    Merging goes on until a level moves nothing; ``levels`` stops earlier. Within a
+    level the moves go on until no tag gains, and every round and level that counts
+    has raised the modularity. Each round is stored in the shared folder and
+    replaces the one before.
     """
     sym = stage(both_ways(edges), "graph")
     total = sym.agg(F.sum("weight")).first()[0] or 0
     member = None
     for level in count():
-        degree = sym.groupBy("a").agg(F.sum("weight").alias("k"))
-        stored = stage(
-            degree.select(F.col("a").alias("v"), F.col("a").alias("c"), "k"), "communities"
-        )
-        state = stored
-        links = stage(sym.join(state.select(F.col("v").alias("a"), "k"), "a"), "graph")
-        for turn in range(rounds):
-            step = _local_round(links, state, total, level * rounds + turn)
-            step, settled = stage_until(step, "communities", F.col("restless"))
-            unstage(stored)
-            stored, state = step, step.select("v", "c", "k")
-            if settled:
-                break
+        degree = stage(sym.groupBy("a").agg(F.sum("weight").alias("k")), "degrees")
+        links = stage(sym.filter("a <> b").join(degree, "a"), "graph")
+        state = _settled(links, degree.select(F.col("a").alias("v"), "k", F.col("a").alias("c")), total)
         unstage(links)
+        unstage(degree)
         moves = state.select("v", "c")
         if member is None:
             member = moves.toDF("tag", "label")
@@ -140,13 +202,14 @@ def membership(member: DataFrame) -> DataFrame:
     return member.join(number_communities(member), "label").select("tag", "community")
 
 
-def community_text(members: DataFrame, per_row: int = 1000) -> DataFrame:
+def community_text(members: DataFrame, per_row: int | None = None) -> DataFrame:
     """(community, part, size, members): tags of a community as blank-separated text.
 
-    A community longer than ``per_row`` tags continues in further parts.
+    One text per community; with ``per_row`` a longer one continues in further parts.
     """
     placed = hash_rank(members, ["community"], "tag", rank="place", total="size")
-    part = F.floor((F.col("place") - 1) / per_row).cast("int").alias("part")
+    part = F.lit(0) if per_row is None else F.floor((F.col("place") - 1) / per_row).cast("int")
+    part = part.alias("part")
     return placed.groupBy("community", "size", part).agg(
         F.array_join(F.sort_array(F.collect_list("tag")), " ").alias("members")
     )

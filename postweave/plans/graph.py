@@ -57,7 +57,18 @@ def tag_vertices(spark, sf):
     return tg.vertices(page_edges(spark, sf))
 
 
+def _score_sql(sym: str, state: str) -> str:
+    """2m * (links inside) - squared degrees of a state (v, c, k)."""
+    return f"""(SELECT (SELECT m2 FROM whole) * coalesce((SELECT sum(g.w) FROM {sym} g JOIN {state} x ON x.v = g.a
+      JOIN {state} y ON y.v = g.b WHERE x.c = y.c AND g.a <> g.b), 0)
+      - (SELECT sum(CAST(d AS HUGEINT) * d) FROM (SELECT sum(k) AS d FROM {state} GROUP BY c)))"""
+
+
 def _round_sql(sym: str, before: str, after: str, turn: int) -> str:
+    below = co.TURNS[turn % len(co.TURNS)]
+    goes = f"substr(md5(v || ':{turn}'), 1, 1) < '{below}'"
+    if below is None:
+        goes = f"v = (SELECT v FROM {after}_best WHERE loss < own_loss ORDER BY loss - own_loss, v LIMIT 1)"
     return f"""
   {after}_links AS (SELECT v, c, sum(w) AS inside FROM (
       SELECT g.a AS v, s.c, g.w FROM {sym} g JOIN {before} s ON s.v = g.b WHERE g.a <> g.b
@@ -67,32 +78,38 @@ def _round_sql(sym: str, before: str, after: str, turn: int) -> str:
       CAST(s.k AS HUGEINT) * (z.d - CASE WHEN l.c = s.c THEN s.k ELSE 0 END)
         - (SELECT m2 FROM whole) * l.inside AS loss
     FROM {after}_links l JOIN {before} s ON s.v = l.v JOIN {after}_sizes z ON z.c = l.c),
-  {after} AS MATERIALIZED (SELECT v, CASE WHEN loss < own_loss
-        AND substr(md5(v || ':{turn}'), 1, 1) < '8' THEN c ELSE own END AS c, k
-    FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY loss, c) AS rn,
+  {after}_best AS MATERIALIZED (SELECT * FROM (SELECT *,
+        row_number() OVER (PARTITION BY v ORDER BY loss, c) AS rn,
         min(CASE WHEN c = own THEN loss END) OVER (PARTITION BY v) AS own_loss
-      FROM {after}_all) WHERE rn = 1)"""
+      FROM {after}_all) WHERE rn = 1),
+  {after}_new AS MATERIALIZED (SELECT v, CASE WHEN loss < own_loss AND {goes} THEN c ELSE own END AS c, k
+    FROM {after}_best),
+  {after} AS MATERIALIZED (SELECT n.v, CASE WHEN gained THEN n.c ELSE b.c END AS c, n.k
+    FROM {after}_new n JOIN {before} b USING (v),
+      (SELECT {_score_sql(sym, after + '_new')} > {_score_sql(sym, before)} AS gained))"""
 
 
-# Levels of merging in the registered queries; the SQL spells every round out.
-LEVELS = 3
+# Rounds of each level that the SQL spells out; rounds after the last gain change
+# nothing, so these must only be enough for the tables the SQL runs on.
+SQL_ROUNDS = (18, 16, 8, 3)
 
 
-def _communities_sql(edges: str, levels: int = LEVELS, rounds: int = co.ROUNDS) -> str:
+def _communities_sql(edges: str, rounds: tuple = SQL_ROUNDS) -> str:
     """The local moves round by round; ends in members(tag, community)."""
     parts = [
         f"""sym0 AS MATERIALIZED (SELECT src AS a, dst AS b, weight AS w FROM {edges}
     UNION ALL SELECT dst, src, weight FROM {edges})""",
         "whole AS (SELECT CAST(sum(w) AS HUGEINT) AS m2 FROM sym0)",
     ]
+    levels = len(rounds)
     for level in range(levels):
         sym, state = f"sym{level}", f"st{level}_0"
         parts.append(
             f"{state} AS MATERIALIZED (SELECT a AS v, a AS c, sum(w) AS k FROM {sym} GROUP BY a)"
         )
-        for turn in range(rounds):
+        for turn in range(rounds[level]):
             after = f"st{level}_{turn + 1}"
-            parts.append(_round_sql(sym, state, after, level * rounds + turn))
+            parts.append(_round_sql(sym, state, after, turn))
             state = after
         if level == 0:
             parts.append(f"mem0 AS (SELECT v AS tag, c AS label FROM {state})")
@@ -121,7 +138,7 @@ _COMMUNITIES = f"{_PAGES}, {_communities_sql('page_tags_edges')}"
 
 def page_members(spark, sf, edges=None):
     edges = stage(page_edges(spark, sf), "edges") if edges is None else edges
-    return co.membership(co.find_communities(edges, LEVELS))
+    return co.membership(co.find_communities(edges))
 
 
 @query("tag_communities", f"WITH {_COMMUNITIES} SELECT tag, community FROM members")

@@ -1,8 +1,9 @@
+import random
 from itertools import combinations
 
 import pytest
 
-from postweave.operators import centrality, tag_graph
+from postweave.operators import centrality, communities, tag_graph
 from postweave.operators.communities import (
     community_arrays,
     community_features,
@@ -86,6 +87,85 @@ def test_planted_communities(spark):
     assert len(texts) == 3
 
 
+def _sequential(edges):
+    """Modularity after moving one tag at a time, without merging."""
+    near, degree = {}, {}
+    for (a, b), w in edges.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    degree = {v: sum(n.values()) for v, n in near.items()}
+    whole, own = sum(degree.values()), {v: v for v in near}
+
+    def gain(v, c):
+        inside = sum(w for u, w in near[v].items() if u != v and own[u] == c)
+        return inside * whole - degree[v] * sum(degree[u] for u in near if own[u] == c and u != v)
+
+    moved = True
+    while moved:
+        moved = False
+        for v in sorted(near):
+            best = max({own[u] for u in near[v]} | {own[v]}, key=lambda c: (gain(v, c), c))
+            if gain(v, best) > gain(v, own[v]):
+                own[v], moved = best, True
+    return _modularity(edges, own)
+
+
+def _modularity(edges, own):
+    whole = 2 * sum(edges.values())
+    degree, inside = {}, 0
+    for (a, b), w in edges.items():
+        degree[own[a]] = degree.get(own[a], 0) + w
+        degree[own[b]] = degree.get(own[b], 0) + w
+        inside += 2 * w * (own[a] == own[b])
+    return inside / whole - sum((d / whole) ** 2 for d in degree.values())
+
+
+def _random_edges(seed, groups=5, size=7):
+    rng = random.Random(seed)
+    tags = [f"t{i:02}" for i in range(groups * size)]
+    out = {}
+    for i, a in enumerate(tags):
+        for b in tags[i + 1 :]:
+            if rng.random() < (0.7 if i // size == tags.index(b) // size else 0.06):
+                out[a, b] = rng.randint(1, 4)
+    return out
+
+
+def test_moves_raise_the_modularity_until_none_gains(spark, monkeypatch):
+    edges = _random_edges(1, 3, 5)
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, weight long")
+    scores, real = [], communities._score
+
+    def noted(state, total, turn):
+        found = real(state, total, turn)
+        scores.append(found[0])
+        return found
+
+    monkeypatch.setattr(communities, "_score", noted)
+    whole = find_communities(df)
+    own = {r.tag: r.label for r in whole.collect()}
+    assert _modularity(edges, own) >= _sequential(edges) - 1e-9
+    assert modularity(df, whole).first().modularity == pytest.approx(_modularity(edges, own))
+    assert len(scores) > 2
+    # A level alone is never better than all of them, and no tag gains by a move.
+    one = {r.tag: r.label for r in find_communities(df, levels=1).collect()}
+    assert _modularity(edges, own) >= _modularity(edges, one) - 1e-12
+    for v in one:
+        near = {one[b if a == v else a] for a, b in edges if v in (a, b)}
+        for c in near:
+            assert _modularity(edges, {**one, v: c}) <= _modularity(edges, one) + 1e-12
+    # Looking at changed tags alone gives the same communities.
+    monkeypatch.setattr(communities, "FRONTIER_LINKS", 10)
+    assert {r.tag: r.label for r in find_communities(df).collect()} == own
+
+
+def test_a_long_path_settles(spark):
+    rows = [(f"p{i:03}", f"p{i + 1:03}", 1) for i in range(120)]
+    edges = {(a, b): w for a, b, w in rows}
+    df = spark.createDataFrame(rows, "src string, dst string, weight long")
+    own = {r.tag: r.label for r in find_communities(df).collect()}
+    assert _modularity(edges, own) > max(_sequential(edges), 0.8)
+
+
 def test_numbering_by_size(spark):
     rows = [(f"t{i}", "big") for i in range(5)] + [(f"u{i}", f"s{i % 3}") for i in range(6)]
     numbered = number_communities(spark.createDataFrame(rows, "tag string, label string")).collect()
