@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postweave.functions.mcnemar import chi_square, chi_square_p, exact_p
 
@@ -17,47 +22,112 @@ def contingency(
     only_b, only_a, both_wrong, same_targets): ``only_a`` is cell [1, 0] of the
     table, ``only_b`` cell [0, 1].
 
-    Experiments of a post are first folded into one pattern of outcomes, and equal
-    patterns are counted. Pairs are formed over distinct patterns only, so their
-    number does not grow with the posts.
+    A post becomes two numbers of one bit per experiment: predicted, and right. A
+    task packs its posts into words of bits per experiment and counts the ones of
+    each pair of experiments at once, so there is no row per pair and post: k
+    experiments on n posts send k x k counts per task. Their targets are compared
+    through the classes of each post. The experiments' names reach the driver.
     """
     by = list(by)
+    names = sorted(r[0] for r in preds.select(experiment).distinct().collect())
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(experiment)) - 1 if names else F.lit(0)
     outcome = F.struct(
-        F.col(experiment).alias("name"),
+        place.cast("int").alias("at"),
         (F.col("pred") == F.col("true")).alias("right"),
-        F.col("true").cast("string").alias("target"),
-    )
-    patterns = (
-        preds.groupBy(*by, id_col)
-        .agg(F.sort_array(F.collect_list(outcome)).alias("pattern"))
-        .groupBy(*by, "pattern")
-        .agg(F.count(F.lit(1)).alias("posts"))
-    )
-    first = patterns.select(*by, "posts", "pattern", F.explode("pattern").alias("x"))
-    pair = first.select(*by, "posts", "x", F.explode("pattern").alias("y"))
-    x, y, n = F.col("x.right"), F.col("y.right"), F.col("posts")
-
-    def total(cond):
-        return F.sum(F.when(cond, n).otherwise(0))
-
-    tables = pair.groupBy(*by, F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(
-        total(x & y).alias("both_right"),
-        total(~x & y).alias("only_b"),
-        total(x & ~y).alias("only_a"),
-        total(~x & ~y).alias("both_wrong"),
-        F.sum("posts").alias("_common"),
-        F.bool_and(F.col("x.target").eqNullSafe(F.col("y.target"))).alias("_agree"),
+        F.xxhash64(F.col("true").cast("string")).alias("target"),
     )
-    sizes = tables.filter("a = b").select(*by, F.col("a").alias("_e"), F.col("_common").alias("_n"))
-    of_a = sizes.select(*by, F.col("_e").alias("a"), F.col("_n").alias("_na"))
-    of_b = sizes.select(*by, F.col("_e").alias("b"), F.col("_n").alias("_nb"))
-    checked = tables.join(of_a, [*by, "a"]).join(of_b, [*by, "b"])
-    whole = (F.col("_common") == F.col("_na")) & (F.col("_common") == F.col("_nb"))
-    return checked.withColumn("same_targets", F.col("_agree") & whole).drop(
-        "_common", "_agree", "_na", "_nb"
+    posts = preds.groupBy(*by, id_col).agg(F.collect_list(outcome).alias("found"))
+    spread = T.StructType([posts.schema[c] for c in by] + [T.StructField(c, T.LongType()) for c in COUNTS])
+    counts = posts.select(*by, F.col("found")).mapInArrow(_pair_counts(len(by), len(names)), spread)
+    summed = counts.groupBy(*by, "a", "b").agg(*[F.sum(c).alias(c) for c in COUNTS[2:]])
+    named = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    sizes = summed.filter("a = b").select(*by, F.col("a").alias("at"), F.col("common").alias("size"))
+    of_a = sizes.select(*by, F.col("at").alias("a"), F.col("size").alias("na"))
+    of_b = sizes.select(*by, F.col("at").alias("b"), F.col("size").alias("nb"))
+    whole = (F.col("common") == F.col("na")) & (F.col("common") == F.col("nb"))
+    return summed.filter("common > 0").join(of_a, [*by, "a"]).join(of_b, [*by, "b"]).select(
+        *by,
+        F.get(named, F.col("a").cast("int")).alias("a"),
+        F.get(named, F.col("b").cast("int")).alias("b"),
+        "both_right",
+        (F.col("right_b") - F.col("both_right")).alias("only_b"),
+        (F.col("right_a") - F.col("both_right")).alias("only_a"),
+        (F.col("common") - F.col("right_a") - F.col("right_b") + F.col("both_right")).alias("both_wrong"),
+        (whole & (F.col("agree") == F.col("common"))).alias("same_targets"),
     )
 
 
+# Per ordered pair: posts of both, right on both, right on either among them, and
+# posts of both with one target.
+COUNTS = ("a", "b", "common", "both_right", "right_a", "right_b", "agree")
+# Posts that a task packs into bits at a time.
+PACKED = 1 << 16
+
+
+def _common_bits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Ones that row i of ``left`` and row j of ``right`` share, for all i and j."""
+    return np.array([np.bitwise_count(row & right).sum(1) for row in left], np.int64).reshape(len(left), len(right))
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
+def _count_portion(found: pa.Array, k: int) -> np.ndarray:
+    """counts[c][a][b] of ``COUNTS`` from c = 2 on, over some posts."""
+    n = len(found)
+    lengths = found.value_lengths().to_numpy(zero_copy_only=False)
+    flat = found.flatten()
+    at, right, target = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "right", "target"))
+    post = np.repeat(np.arange(n), lengths)
+    there, good = np.zeros((k, n), bool), np.zeros((k, n), bool)
+    there[at, post], good[at, post] = True, right.astype(bool)
+    seen, won = _words(there), _words(good)
+    out = np.stack([
+        _common_bits(seen, seen), _common_bits(won, won), _common_bits(won, seen), _common_bits(seen, won),
+        np.zeros((k, k), np.int64),
+    ])
+    # Posts with one target for all agree for all of their pairs; of others each
+    # target is a set of bits of its own.
+    first = np.zeros(n, np.int64)
+    first[post[::-1]] = target[::-1]
+    odd = np.zeros(n, bool)
+    odd[post[target != first[post]]] = True
+    out[4] = _common_bits(_words(there & ~odd), _words(there & ~odd))
+    rest = np.flatnonzero(odd[post])
+    for value in np.unique(target[rest]):
+        own = np.zeros((k, n), bool)
+        some = rest[target[rest] == value]
+        own[at[some], post[some]] = True
+        out[4] += _common_bits(_words(own), _words(own))
+    return out
+
+
+def _pair_counts(keys: int, k: int):
+    """Counts of all ordered pairs, per group of the first ``keys`` columns."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
+        kinds: list = []
+        for batch in batches:
+            kinds = [c.type for c in batch.columns[:keys]]
+            groups = list(zip(*[c.to_pylist() for c in batch.columns[:keys]], strict=True)) if keys else [()] * batch.num_rows
+            for group in set(groups):
+                at = np.array([i for i, g in enumerate(groups) if g == group])
+                for start in range(0, len(at), PACKED):
+                    counts = _count_portion(batch.column(keys).take(pa.array(at[start : start + PACKED])), k)
+                    totals[group] = totals[group] + counts if group in totals else counts
+        a, b = (v.ravel() for v in np.indices((k, k)))
+        for group, counts in totals.items():
+            same = [pa.array([v] * (k * k), kind) for v, kind in zip(group, kinds, strict=True)]
+            cells = [pa.array(v) for v in (a, b, *counts.reshape(len(counts), -1))]
+            yield pa.RecordBatch.from_arrays([*same, *cells], names=[*[f"by{i}" for i in range(keys)], *COUNTS])
+
+    return work
+
+
 def pair_tables(tables: DataFrame) -> DataFrame:
     """Tables of all m-choose-2 pairs with their ``a vs b`` name."""
     return tables.filter("a < b").withColumn(

@@ -400,9 +400,33 @@ def ols_coefficients(spark, sf):
     return found.withColumn("coefficient", F.round("coefficient", 6))
 
 
-@query("logit_coefficients")
+# Newton steps from zero; the last ones change nothing any more.
+_LOGIT_SQL = f"""{_FIT_SQL},
+  steps AS (
+    SELECT 0 AS it, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS z
+    UNION ALL
+    SELECT it + 1,
+      u - (g1 * (e * f - d * d) - g2 * (b * f - c * d) + g3 * (b * d - c * e)) / det,
+      v - (-g1 * (b * f - c * d) + g2 * (a * f - c * c) - g3 * (a * d - b * c)) / det,
+      z - (g1 * (b * d - c * e) - g2 * (a * d - b * c) + g3 * (a * e - b * b)) / det
+    FROM (SELECT *, a * (e * f - d * d) - b * (b * f - c * d) + c * (b * d - c * e) AS det FROM (
+      SELECT it, u, v, z, sum(w * xa * xa) + 1 AS a, sum(w * xa * xb) AS b, sum(w * xa) AS c,
+        sum(w * xb) AS d, sum(w * xb * xb) + 1 AS e, sum(w) AS f,
+        sum((p - y) * xa) + u AS g1, sum((p - y) * xb) + v AS g2, sum(p - y) AS g3
+      FROM (SELECT it, u, v, z, y, xa, xb, p, p * (1 - p) AS w FROM (
+        SELECT it, u, v, z, y, x.a AS xa, x.b AS xb, 1 / (1 + exp(-(u * x.a + v * x.b + z))) AS p
+        FROM steps, x WHERE it < 25)) GROUP BY it, u, v, z)))"""
+
+
+@query(
+    "logit_coefficients",
+    f"""WITH RECURSIVE {_LOGIT_SQL} SELECT 'chars' AS feature, round(u, 5) AS coefficient
+          FROM steps WHERE it = 25
+        UNION ALL SELECT 'origin', round(v, 5) FROM steps WHERE it = 25""",
+)
 def logit_coefficients(spark, sf):
-    return rg.logit_coefficients(_scaled_posts(spark, sf), ["chars", "origin"], "label")
+    found = rg.logit_coefficients(_scaled_posts(spark, sf), ["chars", "origin"], "label")
+    return found.withColumn("coefficient", F.round("coefficient", 5))
 
 
 @query(

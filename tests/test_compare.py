@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,37 @@ def test_golden_statistics(spark):
     assert plain["m0", "m0"] is None and plain["m0", "m2"] == 3
 
 
+def test_many_experiments_with_unique_patterns(spark):
+    """50 experiments, posts that some of them lack, and two targets for some posts."""
+    rng = np.random.default_rng(5)
+    k, n = 50, 400
+    right, there, target = rng.random((k, n)) < 0.6, rng.random((k, n)) < 0.97, rng.integers(0, 3, n)
+    there[:10] = True
+    own = np.tile(target, (k, 1))
+    own[7, 5] = 9
+    rows = [
+        (f"e{e:02}", i, int(own[e, i]) if right[e, i] else -1, int(own[e, i]))
+        for e in range(k) for i in range(n) if there[e, i]
+    ]
+    df = spark.createDataFrame(rows, "experiment string, id long, pred int, true int").repartition(3)
+    tables = cm.contingency(df)
+    plan = tables._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    got = {(r.a, r.b): r for r in tables.collect()}
+    assert len(got) == k * k
+    for a, b in ((0, 1), (1, 0), (7, 3), (20, 33), (12, 12), (7, 7)):
+        both = there[a] & there[b]
+        r = got[f"e{a:02}", f"e{b:02}"]
+        want = [(both & x & y).sum() for x, y in (
+            (right[a], right[b]), (~right[a], right[b]), (right[a], ~right[b]), (~right[a], ~right[b]))]
+        assert [r.both_right, r.only_b, r.only_a, r.both_wrong] == want
+        same = (own[a] == own[b])[both].all() and both.sum() == there[a].sum() == there[b].sum()
+        assert r.same_targets == same
+    by = cm.contingency(df.withColumn("metric", F.lit("m")).union(df.withColumn("metric", F.lit(None).cast("string"))), by=("metric",))
+    assert by.filter("metric = 'm'").count() == k * k
+    assert cm.contingency(df.filter("false")).count() == 0
+
+
 def test_binomial_tail():
     from math import comb
 

@@ -217,6 +217,25 @@ def test_regressions(spark):
     assert found == pytest.approx({"a": 2, "b": -1}) and r2 == pytest.approx(1)
     logit = {r.feature: r.coefficient for r in rg.logit_coefficients(df, ["a", "b"], "l").collect()}
     assert logit["a"] > 0 > logit["b"]
+    # At the optimum the slope of the penalised loss vanishes.
+    wide = rng.normal(size=(200, 2))
+    rows = [(float(a), float(b), bool(t)) for (a, b), t in zip(wide, wide[:, 0] + rng.normal(size=200) > 0.3)]
+    noisy = spark.createDataFrame(rows, "a double, b double, l boolean")
+    found = {r.feature: r.coefficient for r in rg.logit_coefficients(noisy, ["a", "b"], "l", cost=0.5).collect()}
+    w, t = np.array([found["a"], found["b"]]), np.array([r[2] for r in rows], float)
+    free = np.linspace(-3, 3, 60_001)
+    # The intercept balances the residuals; find it and look at the rest of the slope.
+    p = 1 / (1 + np.exp(-(wide @ w)[:, None] - free[None, ::100]))
+    near = free[::100][np.argmin(np.abs((p - t[:, None]).sum(0)))]
+    p = 1 / (1 + np.exp(-(wide @ w)[:, None] - (near + np.linspace(-0.01, 0.01, 2001))[None, :]))
+    p = p[:, np.argmin(np.abs((p - t[:, None]).sum(0)))]
+    assert np.allclose(wide.T @ (p - t) + w / 0.5, 0, atol=1e-3)
+    none, r2 = rg.ols_coefficients(df.filter("false"), ["a", "b"], "y")
+    assert [r.coefficient for r in none.collect()] == [0, 0] and np.isnan(r2)
+    assert [r.coefficient for r in rg.logit_coefficients(df.filter("false"), ["a"], "l").collect()] == [0]
+    twice = df.withColumn("c", F.col("a"))
+    both = {r.feature: r.coefficient for r in rg.ols_coefficients(twice, ["a", "b", "c"], "y")[0].collect()}
+    assert both == pytest.approx({"a": 1, "b": -1, "c": 1})
     report = rg.coefficient_report({"one": table, "two": table}).collect()
     assert {r.feature: r.two for r in report} == pytest.approx({"a": 2, "b": -1})
 
