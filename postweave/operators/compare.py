@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postweave.functions.mcnemar import chi_square, chi_square_p, exact_p
+from postweave.sources.store import write_table
 
 
 def contingency(
@@ -171,3 +172,37 @@ def experiment_report(results: dict[str, DataFrame], metric: str) -> DataFrame:
     long = stacked.unpivot("experiment", fields, "field", "value")
     wide = long.groupBy("field").pivot("experiment", list(results)).agg(F.first("value"))
     return wide.fillna("-")
+
+
+def stored_predictions(spark: SparkSession, path: str, metric: str, experiments: Sequence[str]) -> DataFrame:
+    """(experiment, id, pred, true) of some experiments for one metric, from a table
+    stored by (metric, experiment); only their folders are read."""
+    stored = spark.read.parquet(path)
+    mine = (F.col("metric") == metric) & F.col("experiment").isin(list(experiments))
+    return stored.filter(mine).select("experiment", "id", "pred", "true")
+
+
+def compare_stored(
+    spark: SparkSession, path: str, out: str, metrics: Sequence[str], experiments: Sequence[str], exact: bool = False
+) -> DataFrame:
+    """p-value matrix of the stored predictions of every metric, stored by metric."""
+    for metric in metrics:
+        tables = contingency(stored_predictions(spark, path, metric, experiments))
+        matrix = p_matrix(mcnemar(tables, exact=exact), list(experiments))
+        write_table(matrix.withColumn("metric", F.lit(metric)), out, "metric")
+    return spark.read.parquet(out)
+
+
+def report_stored(
+    spark: SparkSession, results: Mapping[str, str], out: str, metrics: Sequence[str]
+) -> DataFrame:
+    """The report of every metric, (field, one column per experiment), stored by metric.
+
+    ``results`` names the folder of each experiment's own result table, which has a
+    column ``metric`` and any others.
+    """
+    tables = {name: spark.read.parquet(path) for name, path in results.items()}
+    for metric in metrics:
+        report = experiment_report(tables, metric)
+        write_table(report.withColumn("metric", F.lit(metric)), out, "metric")
+    return spark.read.parquet(out)

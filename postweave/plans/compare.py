@@ -252,3 +252,52 @@ def p_value_store(spark, sf):
     path = scratch_path(spark, "p-values")
     store.write_table(matrix.withColumns({m: F.round(m, 6) for m in MODELS}), path, "metric")
     return spark.read.parquet(path).select("metric", "experiment", *MODELS)
+
+
+COMPARED = ["m_lang", "m_len", "m_mix"]
+_COMPARED = ", ".join(f"max(CASE WHEN b = '{m}' THEN round(p_value, 6) END) AS {m}" for m in COMPARED)
+_NAMES = ", ".join(f"'{m}'" for m in COMPARED)
+
+
+@query(
+    "compare_stored",
+    f"""WITH {_TABLES_SQL}, m AS (SELECT * FROM (VALUES ('accuracy'), ('true')) v(metric))
+        SELECT metric, a AS experiment, {_COMPARED} FROM tests, m
+        WHERE a IN ({_NAMES}) AND b IN ({_NAMES}) GROUP BY metric, a""",
+)
+def compare_stored(spark, sf):
+    """Three of four stored experiments compared for two of three stored metrics."""
+    path = scratch_path(spark, "predictions")
+    metrics = F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric")
+    store.write_table(preds(spark, sf).select("*", metrics), path, "metric", "experiment")
+    found = cm.compare_stored(spark, path, scratch_path(spark, "p-values"), ["accuracy", "true"], COMPARED)
+    return found.select("metric", "experiment", *[F.round(m, 6).alias(m) for m in COMPARED])
+
+
+@query(
+    "report_per_metric",
+    f"""WITH {_SCORES_SQL}, s AS (
+          SELECT experiment AS e, 'accuracy' AS metric, accuracy AS v FROM scores
+          UNION ALL SELECT experiment, 'true', "true" FROM scores
+          UNION ALL SELECT experiment, 'false', "false" FROM scores),
+        t AS (SELECT e, metric, CAST(CAST(round(v * 10000) AS INT) AS VARCHAR) AS score FROM s),
+        p AS (SELECT metric, max(CASE WHEN e = 'm_len' THEN score END) AS m_len,
+          max(CASE WHEN e = 'm_lang' THEN score END) AS m_lang FROM t GROUP BY metric)
+        SELECT metric, 'score' AS field, m_len, m_lang FROM p
+        UNION ALL SELECT metric, 'metric', metric, metric FROM p
+        UNION ALL SELECT metric, 'degree', '-', '2' FROM p""",
+)
+def report_per_metric(spark, sf):
+    """Results of two experiments, each stored on its own, and their report by metric."""
+    scores = stage(_scores(spark, sf), "scores")
+    results = {}
+    for name in ("m_len", "m_lang"):
+        pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])).alias("p")
+        own = scores.filter(F.col("experiment") == name).select(pairs)
+        rows = own.select("p.metric", F.round(F.col("p.v") * 10000).cast("int").alias("score"))
+        if name == "m_lang":
+            rows = rows.withColumn("degree", F.lit(2))
+        results[name] = scratch_path(spark, f"result-{name}")
+        store.write_table(rows, results[name])
+    found = cm.report_stored(spark, results, scratch_path(spark, "reports"), METRICS)
+    return found.select("metric", "field", *results)
