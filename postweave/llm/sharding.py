@@ -1,8 +1,9 @@
 """Shards through fixed virtual slots and a versioned slot-to-shard map.
 
 Records are hashed into thousands of slots, bytes are added up per slot, and a
-small map says which shard holds a slot. Rebalancing edits the map only: a new
-version moves as few slots as it needs, records never change their slot.
+small stored map says which shard holds a slot. Rebalancing edits the latest stored
+version only: a new one moves as few slots as it needs, and is stored beside those
+before it. Records never change their slot.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postweave.session import scratch_path
+from postweave.sources.store import exists
+
 # Fixed for the life of a data set; bounds every table of slots.
 SLOTS = 16_384
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long"
@@ -22,15 +26,17 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, vslot) of ``docs``.
 
     size is the text's UTF-8 bytes (null: none) plus 1. The slot depends on the
-    id alone; a null id has a slot too, and rows with an equal id share one.
-    Other columns of ``docs`` are not read, whatever their names.
+    id alone, and rows with an equal id share one; rows without an id are dealt by
+    their text. Other columns of ``docs`` are not read, whatever their names.
     """
     text = F.coalesce(docs["text"], F.lit(""))
     return docs.select(
         docs["doc_id"].alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(docs["doc_id"]), F.lit(slots)).cast("int").alias("vslot"),
+        F.pmod(
+            F.when(docs["doc_id"].isNull(), F.xxhash64(text)).otherwise(F.xxhash64(docs["doc_id"])), F.lit(slots)
+        ).cast("int").alias("vslot"),
     )
 
 
@@ -108,26 +114,42 @@ def _exchange(held, loads, sizes) -> bool:
     return True
 
 
-def map_table(spark: SparkSession, versions: list[dict[int, int]], sizes: dict[int, int]) -> DataFrame:
-    """All versions as one table of at most versions x slots rows."""
-    rows = [
-        (v, slot, shard, sizes.get(slot, 0))
-        for v, placed in enumerate(versions)
-        for slot, shard in sorted(placed.items())
-    ]
-    return spark.createDataFrame(rows, MAP_SCHEMA)
+def latest_map(spark: SparkSession, path: str) -> tuple[int, dict[int, int]] | None:
+    """The newest stored version and its slots' shards, one number per slot."""
+    if not exists(spark, path):
+        return None
+    stored = spark.read.schema(MAP_SCHEMA).parquet(path)
+    version = stored.agg(F.max("version")).first()[0]
+    rows = stored.filter(F.col("version") == version).select("vslot", "shard").collect()
+    return version, {r.vslot: r.shard for r in rows}
 
 
-def balanced_map(
-    spark: SparkSession, rows: DataFrame, shards: int, slots: int = SLOTS
-) -> DataFrame:
-    """Versions 0 (round robin) and 1 (edited for the bytes of ``rows``) of the map.
+def store_map(spark: SparkSession, path: str, version: int, placed: dict[int, int], sizes: dict[int, int]) -> None:
+    """Store a version once; the versions before it stay."""
+    rows = [(slot, shard, sizes.get(slot, 0)) for slot, shard in sorted(placed.items())]
+    table = spark.createDataFrame(rows, "vslot int, shard int, bytes long")
+    table.coalesce(1).write.parquet(f"{path}/version={version}")
+
 
-    The driver sees one number per slot, ``slots`` at most.
+def balanced_map(
+    spark: SparkSession, rows: DataFrame, shards: int, path: str, slots: int = SLOTS
+) -> tuple[DataFrame, int]:
+    """The stored map (version, vslot, shard, bytes), and the version for ``rows``.
+
+    The latest version at ``path`` is edited until the bytes of ``rows`` are near
+    equal over ``shards`` shards; a version is added only if a slot has moved.
+    Without any, version 0 deals the slots round robin. The driver sees one number
+    per slot, ``slots`` at most.
     """
     sizes = {r["vslot"]: r["bytes"] for r in slot_sizes(rows).collect()}
-    first = first_map(shards, slots)
-    return map_table(spark, [first, rebalance(first, sizes, shards)], sizes)
+    if latest_map(spark, path) is None:
+        store_map(spark, path, 0, first_map(shards, slots), {})
+    version, placed = latest_map(spark, path)
+    edited = rebalance(placed, sizes, shards)
+    if edited != placed:
+        version += 1
+        store_map(spark, path, version, edited, sizes)
+    return spark.read.schema(MAP_SCHEMA).parquet(path), version
 
 
 def assign(rows: DataFrame, placed: DataFrame, version: int) -> DataFrame:
@@ -152,8 +174,14 @@ def assign(rows: DataFrame, placed: DataFrame, version: int) -> DataFrame:
     ).drop("at", "start")
 
 
-def shards(spark: SparkSession, docs: DataFrame, n: int = 16, slots: int = SLOTS) -> DataFrame:
-    """Every row of ``docs`` with its shard under the byte-balanced map."""
+def shards(
+    spark: SparkSession, docs: DataFrame, n: int = 16, slots: int = SLOTS, path: str | None = None
+) -> DataFrame:
+    """Every row of ``docs`` with its shard under the byte-balanced map.
+
+    ``path`` is the folder of the map's versions, which a later run goes on from; a
+    new one in the shared folder if not given.
+    """
     rows = records(docs, slots)
-    placed = balanced_map(spark, rows, n, slots)
-    return assign(rows, placed, 1)
+    placed, version = balanced_map(spark, rows, n, path or scratch_path(spark, "slot-map"), slots)
+    return assign(rows, placed, version)

@@ -29,3 +29,33 @@ def test_rebalancing_moves_little():
     grown = sharding.rebalance(placed, sizes, 17)
     moved = [s for s in placed if placed[s] != grown[s]]
     assert len(moved) < 1000 / 17 * 2.5 and set(grown.values()) == set(range(17))
+
+
+def test_a_grown_table_goes_on_from_the_stored_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    first = [(i, "x" * (i * 37 % 400), "en", "s", 1) for i in range(3000)]
+    more = [(i, "y" * (i * 53 % 300), "en", "s", 1) for i in range(3000, 3600)]
+    one = sharding.shards(spark, cases.documents(spark, first), 8, 512, path).collect()
+    version, before = sharding.latest_map(spark, path)
+    assert version == 1
+    # The same table again: nothing moves and no version is added.
+    assert sorted(sharding.shards(spark, cases.documents(spark, first), 8, 512, path).collect()) == sorted(one)
+    assert sharding.latest_map(spark, path)[0] == 1
+    grown = sharding.shards(spark, cases.documents(spark, first + more), 8, 512, path).collect()
+    version, after = sharding.latest_map(spark, path)
+    moved = [s for s in before if before[s] != after[s]]
+    assert version == 2 and 0 < len(moved) < 512 / 4
+    loads = [sum(r.size for r in grown if r.shard == k) for k in range(8)]
+    assert max(loads) - min(loads) <= 50
+    shard = {r.doc_id: r.shard for r in one}
+    assert sum(shard[r.doc_id] != r.shard for r in grown if r.doc_id in shard) < 3000 / 4
+    sharding.shards(spark, cases.documents(spark, first + more), 9, 512, path)
+    assert set(sharding.latest_map(spark, path)[1].values()) == set(range(9))
+    assert spark.read.schema(sharding.MAP_SCHEMA).parquet(path).select("version").distinct().count() == 4
+
+
+def test_rows_without_id_are_spread(spark):
+    data = [(None, f"text {k}", "en", "s", 1) for k in range(400)]
+    got = sharding.shards(spark, cases.documents(spark, data), 4).collect()
+    assert len({r.vslot for r in got}) > 300
+    assert sorted(r.slot for r in got if r.shard == 2) == list(range(sum(r.shard == 2 for r in got)))
