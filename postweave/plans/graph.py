@@ -216,7 +216,36 @@ def tag_betweenness(spark, sf):
     return scores.withColumn("centrality", F.round("centrality", 6))
 
 
-@query("tag_betweenness_weighted")
+# Least costs by one more link a step, kept as they are by a link of cost 0 to oneself;
+# then the numbers of walks along links that lie on a cheapest path.
+STEPS = 40
+_BY_COST = f"""costs AS MATERIALIZED (SELECT src AS a, dst AS b, weight AS w FROM page_tags_edges
+    UNION ALL SELECT dst, src, weight FROM page_tags_edges),
+  verts AS MATERIALIZED (SELECT DISTINCT a AS tag FROM costs),
+  hops AS MATERIALIZED (SELECT a, b, w FROM costs UNION ALL SELECT tag, tag, 0 FROM verts),
+  least AS (
+    SELECT 0 AS h, tag AS s, tag AS v, CAST(0 AS BIGINT) AS c FROM verts
+    UNION ALL
+    SELECT l.h + 1, l.s, g.b, CAST(min(l.c + g.w) AS BIGINT) FROM least l JOIN hops g ON g.a = l.v
+    WHERE l.h < {STEPS} GROUP BY l.h + 1, l.s, g.b),
+  dist AS MATERIALIZED (SELECT s, v, c AS d FROM least WHERE h = {STEPS}),
+  tight AS MATERIALIZED (SELECT x.s, g.a, g.b FROM dist x JOIN costs g ON g.a = x.v
+    JOIN dist y ON y.s = x.s AND y.v = g.b WHERE x.d + g.w = y.d),
+  walks AS (
+    SELECT 0 AS h, tag AS s, tag AS v, CAST(1 AS DOUBLE) AS n FROM verts
+    UNION ALL
+    SELECT w.h + 1, w.s, t.b, sum(w.n) FROM walks w JOIN tight t ON t.s = w.s AND t.a = w.v
+    WHERE w.h < {STEPS} GROUP BY w.h + 1, w.s, t.b),
+  ways AS (SELECT s, v, sum(n) AS sigma FROM walks GROUP BY s, v),
+  paths AS MATERIALIZED (SELECT s, v, d, sigma FROM dist JOIN ways USING (s, v)),
+  {_BETWEENNESS[_BETWEENNESS.index('through AS'):]}"""
+
+
+@query(
+    "tag_betweenness_weighted",
+    f"""WITH RECURSIVE {_PAGES}, {_BY_COST}
+        SELECT tag, round(centrality, 6) AS centrality FROM central""",
+)
 def tag_betweenness_weighted(spark, sf):
     scores = ce.betweenness(stage(page_edges(spark, sf), "edges"), weighted=True)
     return scores.withColumn("centrality", F.round("centrality", 6))
