@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postweave.functions.stem import stems
 from postweave.functions.text import clean, concat_columns, drop_stop_words, or_empty_token, tokens
+from postweave.operators.in_row import row_counts, small
 from postweave.presets import KEEP_TERMS, REPLACEMENTS
 
 
@@ -67,11 +68,15 @@ def term_counts(
 ) -> DataFrame:
     """(id, keep.., term, n) over dictionary terms; other terms are dropped.
 
-    Repeats within a post combine before the shuffle.
+    Counted within the post's row, without a shuffle; a dictionary too large to
+    broadcast is joined instead, where repeats within a post combine first.
     """
+    known = small(dictionary.select("term"))
+    if known is not None:
+        return row_counts(df, [id_col, *keep], F.col(terms_col), known.column("term").combine_chunks())
     each = df.select(id_col, *keep, F.explode_outer(terms_col).alias("term"))
-    known = each.join(F.broadcast(dictionary.select("term")), "term")
-    return known.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("n"))
+    counted = each.join(dictionary.select("term"), "term")
+    return counted.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocabulary(dictionary: DataFrame) -> list[str]:

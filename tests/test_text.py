@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from postweave.functions import text as tx
 from postweave.functions.dates import epoch_to_timestamp, parse_date
 from postweave.functions.stem import stem_word, stems
+from postweave.operators import dictionary as dictionary_module
+from postweave.operators import term_odds as odds_module
 from postweave.operators.dictionary import (
     build_dictionary,
     count_vectors,
@@ -161,3 +163,21 @@ def test_marks_beyond_the_first_blocks_vanish(spark):
     plain = lambda s: unicodedata.normalize("NFC", "".join(
         c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))
     assert found == [plain(s) for s in samples] and found[0] == "カラス"
+
+
+def test_sums_in_the_row_equal_a_join(spark, monkeypatch):
+    rows = [(1, ["a", "b", "a", None, "zz"]), (2, []), (3, None), (4, ["b"] * 5 + ["c"])]
+    df = spark.createDataFrame(rows, "id long, final_text array<string>").repartition(3)
+    ratios = spark.createDataFrame([("a", 0.5), ("b", -1.0), ("c", None)], "term string, log_ratio double")
+    dictionary = ratios.select("term")
+
+    def found():
+        odds = {r.id: round(r.log_terms, 9) for r in term_odds(df, "id", ratios).collect()}
+        counts = sorted(map(tuple, term_counts(df, "id", dictionary).collect()))
+        return odds, counts
+
+    here = found()
+    assert here == ({1: 0.0, 2: 0.0, 3: 0.0, 4: -5.0}, [(1, "a", 2), (1, "b", 1), (4, "b", 5), (4, "c", 1)])
+    for module in (odds_module, dictionary_module):
+        monkeypatch.setattr(module, "small", lambda table: None)
+    assert found() == here
