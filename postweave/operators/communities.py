@@ -32,10 +32,11 @@ RESTLESS = "best_loss < own_loss"
 
 
 def _choices(links: DataFrame, state: DataFrame, total: int, only: DataFrame | None = None) -> DataFrame:
-    """(v, k, c, best, best_loss, own_loss, inside) of the vertices in ``only``, or of all.
+    """(v, k, c, best, best_loss, own_loss, inside, degree) of the vertices in ``only``, or of all.
 
     ``links`` is (a, b, weight, k) without loops, with the weighted degree k of a, and
-    ``state`` (v, k, c); ``inside`` is the weight of v's links into its own community.
+    ``state`` (v, k, c); ``inside`` is the weight of v's links into its own community,
+    ``degree`` that of all links of the community.
     Links into each neighbouring community are summed per vertex, then the best
     community is kept: two combining shuffles.
     """
@@ -58,10 +59,10 @@ def _choices(links: DataFrame, state: DataFrame, total: int, only: DataFrame | N
     ) * F.lit(total).cast("decimal(19,0)")
     return sums.join(sizes, "c").withColumn("loss", loss.cast(WHOLE)).groupBy("v", "k").agg(
         F.min(F.struct("loss", "c")).alias("best"),
-        F.min(F.when(F.col("stays"), F.struct("loss", "c", "inside"))).alias("own"),
+        F.min(F.when(F.col("stays"), F.struct("loss", "c", "inside", "degree"))).alias("own"),
     ).select(
         "v", "k", "own.c", F.col("best.c").alias("best"), F.col("best.loss").alias("best_loss"),
-        F.col("own.loss").alias("own_loss"), "own.inside",
+        F.col("own.loss").alias("own_loss"), "own.inside", "own.degree",
     )
 
 
@@ -84,12 +85,10 @@ def _score(state: DataFrame, total: int, turn: int) -> tuple[int, list[int]]:
     the turns of the next cycle in which some tag would move; none if no tag gains."""
     turns = range(turn, turn + len(TURNS))
     goes = [F.expr(RESTLESS) if TURNS[t % len(TURNS)] is None else _by_hash(t) for t in turns]
-    parts = state.groupBy("c").agg(
-        F.sum("k").cast("decimal(19,0)").alias("degree"), F.sum("inside").alias("inside"),
-        *[F.max(g).alias(f"t{t}") for t, g in zip(turns, goes)],
-    )
-    row = parts.agg(
-        F.sum("inside"), F.sum((F.col("degree") * F.col("degree")).cast(WHOLE)), *[F.max(f"t{t}") for t in turns]
+    # The degrees of the members times that of their community add up to its square.
+    square = F.col("k").cast("decimal(19,0)") * F.col("degree").cast("decimal(19,0)")
+    row = state.agg(
+        F.sum("inside"), F.sum(square.cast(WHOLE)), *[F.max(g) for g in goes]
     ).first()
     return total * int(row[0] or 0) - int(row[1] or 0), [t for t, any_ in zip(turns, row[2:]) if any_]
 
@@ -105,7 +104,7 @@ def _frontier(links: DataFrame, after: DataFrame) -> DataFrame:
 def _round(links: DataFrame, state: DataFrame, total: int, turn: int, large: bool) -> DataFrame:
     """The state after the moves of a turn; stored."""
     to = F.when(_moves(state, turn), F.col("best")).otherwise(F.col("c"))
-    after = state.select("v", "k", to.alias("to"), "c", "best", "best_loss", "own_loss", "inside")
+    after = state.select("v", "k", to.alias("to"), "c")
     moved = after.select("v", "k", F.col("to").alias("c"))
     if not large:
         return stage(_choices(links, moved, total), "communities")

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.session import widen
-
 SEED = 1982
 OUTER = 5
 INNER = 5
@@ -20,8 +18,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
-    """A text table, spread over the cores also where it is one small file."""
-    return widen(table(spark, sf, name))
+    """A table with texts."""
+    return table(spark, sf, name)
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:

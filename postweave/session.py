@@ -92,14 +92,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
-
-
-def widen(table: DataFrame, most_tasks: int = 2) -> DataFrame:
-    """Spread a stored table that one or two tasks would read over the cores.
-
-    So what is shuffled never exceeds ``most_tasks`` input splits, however many
-    cores there are; any larger table comes back unchanged.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    few = table.rdd.getNumPartitions() <= most_tasks < cores
-    return table.repartition(cores) if few else table
