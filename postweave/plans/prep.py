@@ -59,6 +59,22 @@ def csv_import_typed(spark, sf):
     )
 
 
+@query(
+    "csv_import_multiline",
+    """SELECT doc_id, length(text) AS chars, md5(text) AS digest, count(*) OVER () AS rows_read
+       FROM documents""",
+)
+def csv_import_multiline(spark, sf):
+    """Texts with line breaks written to files, their records put together from byte ranges."""
+    path = scratch_path(spark, "documents-csv")
+    delimited.write_delimited(table(spark, sf, "documents").select("doc_id", "text"), path)
+    read = delimited.read_delimited(spark, path, "doc_id long, text string", multiline=True)
+    digest = F.md5(F.col("text").cast("binary"))
+    return read.select("doc_id", F.length("text").alias("chars"), digest.alias("digest")).withColumn(
+        "rows_read", read.agg(F.count(F.lit(1))).scalar()
+    )
+
+
 @query(
     "date_filter_range",
     f"""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from postweave.sources.records import read_records
+
 TEXT_TYPES = ("csv", "txt")
 
 
@@ -35,34 +37,37 @@ def read_delimited(
 ) -> DataFrame:
     """Read delimited files with a header row.
 
-    A file whose records span lines cannot be split into tasks. With ``multiline``
-    unset the files are checked first, and all others are read in parallel.
+    With ``multiline`` unset the files are checked first. Files whose records keep to
+    their lines are read as they are; of the others the records are put together from
+    byte ranges, so that one large file is the work of many tasks too.
     """
     if kind not in TEXT_TYPES:
         raise ValueError(f"unsupported source type: {kind}")
-
-    def read(paths: str | list[str], whole: bool) -> DataFrame:
-        return (
-            spark.read.option("header", True)
-            .option("sep", sep)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("multiLine", whole)
-            .option("mode", "FAILFAST")
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-            .schema(schema)
-            .csv(paths)
-        )
-
-    if multiline is not None:
-        return read(path, multiline)
-    spanning = files_spanning_lines(spark, path)
-    if not spanning:
-        return read(path, False)
+    options = {
+        "sep": sep, "quote": '"', "escape": '"', "mode": "FAILFAST",
+        "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
+    }
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+
+    def plain(paths: str | list[str]) -> DataFrame:
+        return spark.read.options(header=True, **options).schema(schema).csv(paths)
+
+    def spanning(paths: list[str]) -> DataFrame:
+        row = F.from_csv("record", schema.toDDL(), options)
+        # Rows keep the order of their file: of a repeated word the last one counts.
+        ordered = read_records(spark, paths, sep).orderBy("file", "block", "place")
+        return ordered.select(row.alias("row")).select("row.*")
+
+    if multiline is False:
+        return plain(path)
     files = {unquote(f) for f in spark.read.text(path).inputFiles()}
-    plain = sorted(files - spanning)
-    found = read(sorted(spanning), True)
-    return read(plain, False).unionByName(found) if plain else found
+    odd = files if multiline else files_spanning_lines(spark, path)
+    if not odd:
+        return plain(path)
+    found = spanning(sorted(odd))
+    rest = sorted(files - odd)
+    return plain(rest).unionByName(found) if rest else found
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:

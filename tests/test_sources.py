@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from postweave.presets import DYNAMIC_FEATURES, GRID_FULL, GRID_SMALL
 from postweave.operators import grid as gr
-from postweave.sources import delimited, store
+from postweave.sources import delimited, records, store
 
 
 def test_records_over_several_lines(spark, tmp_path):
@@ -102,4 +102,86 @@ def test_only_the_file_with_long_records_is_read_whole(spark, tmp_path):
     assert {(r.id, r.text) for r in rows.collect()} == {
         *[(k, "plain") for k in range(3)], *[(k + 10, "a, b") for k in range(3)], (7, "two\nlines"),
     }
-    assert len(rows.inputFiles()) == 4
+
+
+def _whole(spark, path, schema, sep=","):
+    """The rows as one task reads them."""
+    return (
+        spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=True)
+        .schema(schema).csv(path)
+    )
+
+
+CELLS = [
+    "plain", "", "two\nlines", 'a ""quoted"" word', 'ends ""', '""', "\n\n", 'x,y\n"",', "l1\nl2\nl3",
+    "z" * 90, "tab\there",
+]
+
+
+def _write_records(path, count, end, seed):
+    import random
+
+    rng = random.Random(seed)
+    lines = ["id,text,more"]
+    for i in range(count):
+        cells = [f'"{c}"' if set(c) & set('\n",') else c for c in rng.choices(CELLS, k=2)]
+        # A quote within an unquoted field is a plain character.
+        cells[1] = rng.choice([cells[1], 'six 6" pipe', 'a"b"'])
+        lines.append(",".join([str(i), *cells]))
+    path.write_bytes((end.join(lines) + (end if seed % 2 else "")).encode())
+
+
+@pytest.mark.parametrize("size, count, end, seed", [
+    (64, 20, "\n", 1), (257, 60, "\n", 2), (257, 60, "\r\n", 3), (1500, 200, "\n", 4),
+])
+def test_one_file_of_long_records_is_read_in_many_tasks(spark, tmp_path, size, count, end, seed):
+    path, schema = tmp_path / "posts.csv", "id long, text string, more string"
+    _write_records(path, count, end, seed)
+    want = sorted(map(tuple, _whole(spark, str(path), schema).collect()), key=repr)
+    assert len(want) == count
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        got = delimited.read_delimited(spark, str(path), schema).collect()
+        blocks = records.read_lines(spark, [str(path)], ",", '"').select("block").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(map(tuple, got), key=repr) == want
+    assert blocks > 4
+
+
+def test_records_longer_than_a_range_and_several_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    long = "\n".join(f'line {k} ""x""' for k in range(200))
+    for k in range(3):
+        (folder / f"f{k}.csv").write_text(f'id,"te\nxt"\n{k},"{long}"\n\n{k + 10},short\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        rows = delimited.read_delimited(spark, str(folder), "id long, text string").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    clear = long.replace('""', '"')
+    want = {x for k in range(3) for x in ((k, clear), (k + 10, "short"))}
+    assert len(rows) == 6 and {(r.id, r.text) for r in rows} == want
+
+
+def test_a_quote_that_never_closes_fails_or_takes_the_rest(spark, tmp_path):
+    path = tmp_path / "open.csv"
+    path.write_text('id,text\n1,a\n2,"open\n3,b\n')
+    rows = records.read_records(spark, [str(path)]).collect()
+    assert sorted(r.record for r in rows) == ["1,a", '2,"open\n3,b']
+
+
+@pytest.mark.parametrize("line, out, inside", [
+    ("a,b", False, True), ('a,"b', True, False), ('"a""', True, False), ('a"b,"', True, True),
+    ('x"', False, False), ('","', False, True), ('""', False, True), ('6" pipe', False, False),
+])
+def test_state_at_the_end_of_a_line(spark, line, out, inside):
+    value = F.lit(line)
+    row = spark.range(1).select(
+        records.ends_inside(value, ",", '"', records.CLOSED).alias("o"),
+        records.ends_inside(value, ",", '"', records.INSIDE).alias("i"),
+    ).first()
+    assert (row.o, row.i) == (out, inside)
