@@ -24,7 +24,7 @@ def small(table: DataFrame, most: int = BROADCAST_ROWS) -> pa.Table | None:
     return found if found.num_rows <= most else None
 
 
-def _places(lists: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_places(lists: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of every word of the lists that is among ``terms``."""
     n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     places = pc.index_in(lists.flatten().cast(terms.type), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -46,7 +46,7 @@ def row_sums(df: DataFrame, keep: Sequence[str], words: Column, table: pa.Table,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, numbers = shared.value
         for batch in batches:
-            rows, places = _places(batch.column(len(keep)), terms)
+            rows, places = word_places(batch.column(len(keep)), terms)
             sums = [pa.array(np.bincount(rows, v[places], batch.num_rows).astype(float)) for v in numbers]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *sums], names=[*keep, *values])
 
@@ -61,7 +61,7 @@ def row_counts(df: DataFrame, keep: Sequence[str], words: Column, terms: pa.Arra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
         for batch in batches:
-            rows, places = _places(batch.column(len(keep)), terms)
+            rows, places = word_places(batch.column(len(keep)), terms)
             cells, n = np.unique(rows * max(len(terms), 1) + places, return_counts=True)
             row, place = np.divmod(cells, max(len(terms), 1))
             kept = [c.take(pa.array(row, pa.int64())) for c in batch.columns[: len(keep)]]

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postweave.operators.dictionary import build_dictionary, count_vectors, vocabulary
+from postweave.operators import gibbs
+from postweave.operators.dictionary import build_dictionary, vocabulary
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    model: LDAModel | None
+    """Counts by word and topic, the topics' prior, the log-likelihood per word of each
+    pass, and the stored blocks of training posts with their last topics."""
+
     terms: list[str]
     topics: int
+    counts: np.ndarray | None = None
+    alpha: np.ndarray | None = None
+    fits: tuple[float, ...] = ()
+    blocks: DataFrame | None = None
+
+    def shares(self) -> np.ndarray:
+        """Share of each word (row) in each topic (column)."""
+        raised = self.counts + gibbs.BETA
+        return raised / raised.sum(0)
 
 
 def fit_topics(
@@ -24,32 +38,39 @@ def fit_topics(
     topics: int,
     no_below: int = 1,
     no_above: float = 1,
-    iterations: int = 50,
+    iterations: int | None = None,
     seed: int = 0,
+    gain: float = gibbs.GAIN,
     terms_col: str = "final_text",
 ) -> TopicModel:
-    """Dictionary and topic model of the training posts.
+    """Dictionary and topic model of the training posts, by Gibbs sampling.
 
-    Online variational inference: each of the ``iterations`` reads all posts and
-    merges one topics x terms matrix, whose size the dictionary bounds.
+    Each pass reads all posts and merges one words x topics table, whose size the
+    dictionary bounds. Without ``iterations`` the passes end when five of them gain less
+    than ``gain`` in log-likelihood per word. Without a dictionary term there is no model
+    and weights are 0.
     """
     terms = vocabulary(build_dictionary(train, no_below, no_above, terms_col))
     if not terms:
-        return TopicModel(None, terms, topics)
-    counts = count_vectors(train, terms, terms_col, "counts").select("counts").persist()
-    lda = LDA(
-        k=topics,
-        maxIter=iterations,
-        seed=seed,
-        optimizer="online",
-        subsamplingRate=1.0,
-        optimizeDocConcentration=True,
-        featuresCol="counts",
+        return TopicModel(terms, topics)
+    counts, alpha, fits, blocks = gibbs.fit_counts(
+        train, terms, topics, seed, terms_col, iterations, gain
+    )
+    return TopicModel(terms, topics, counts, alpha, tuple(fits), blocks)
+
+
+def topic_terms(fitted: TopicModel) -> DataFrame:
+    """(term, topic, n): how many of a term's occurrences lie in each topic, from 1."""
+    spark = fitted.blocks.sparkSession
+    names = spark.createDataFrame(
+        pa.table({"place": pa.array(range(len(fitted.terms)), pa.int64()), "term": fitted.terms})
+    )
+    cells = gibbs.merged(fitted.blocks).filter("cell >= 0").select(
+        F.floor(F.col("cell") / fitted.topics).alias("place"),
+        (F.col("cell") % fitted.topics + 1).cast("int").alias("topic"),
+        F.col("n").cast("long").alias("n"),
     )
-    try:
-        return TopicModel(lda.fit(counts), terms, topics)
-    finally:
-        counts.unpersist()
+    return cells.join(names, "place").select("term", "topic", "n")
 
 
 def clean_weights(weights: Column, cutoff: float) -> Column:
@@ -63,32 +84,38 @@ def infer_topics(
     df: DataFrame, fitted: TopicModel, terms_col: str = "final_text"
 ) -> DataFrame:
     """Add ``topic_weights`` (raw) per post; all zero without any known term."""
-    if fitted.model is None:
+    if fitted.counts is None:
         return df.withColumn("topic_weights", F.array_repeat(F.lit(0.0), fitted.topics))
-    counted = count_vectors(df, fitted.terms, terms_col, "counts")
-    fitted.model.setFeaturesCol("counts").setTopicDistributionCol("topics")
-    inferred = fitted.model.transform(counted)
-    return inferred.withColumn("topic_weights", vector_to_array("topics")).drop(
-        "counts", "topics"
-    )
-
-
-def topic_keywords(fitted: TopicModel, words: int = 10) -> DataFrame:
-    """(topic, keywords), topics from 1; one row per topic."""
-    described = fitted.model.describeTopics(words)
-    spark = described.sparkSession
-    used = sorted({i for r in described.collect() for i in r.termIndices})
-    names = spark.createDataFrame(
-        [(i, fitted.terms[i]) for i in used], "index int, term string"
-    )
-    each = described.select("topic", F.posexplode("termIndices").alias("place", "index"))
-    ordered = each.join(names, "index").groupBy("topic").agg(
-        F.sort_array(F.collect_list(F.struct("place", "term"))).alias("words")
-    )
-    return ordered.select(
-        (F.col("topic") + 1).alias("topic"),
-        F.array_join(F.transform("words", lambda w: w["term"]), ", ").alias("keywords"),
+    shared = df.sparkSession.sparkContext.broadcast(
+        (pa.array(fitted.terms), fitted.shares(), fitted.alpha)
     )
+    at = df.columns.index(terms_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, shares, alpha = shared.value
+        for batch in batches:
+            words = gibbs.post_words(batch.column(at), terms)
+            found = gibbs.post_shares(*words, shares, alpha)
+            ends = pa.array(np.arange(len(found) + 1) * len(alpha), pa.int32())
+            weights = pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, weights], names=[*batch.schema.names, "topic_weights"]
+            )
+
+    weights = T.StructField("topic_weights", T.ArrayType(T.DoubleType()))
+    return df.mapInArrow(work, T.StructType([*df.schema.fields, weights]))
+
+
+def topic_keywords(spark: SparkSession, fitted: TopicModel, words: int = 10) -> DataFrame:
+    """(topic, keywords), topics from 1; one row per topic, so its size is bounded."""
+    rows = []
+    if fitted.counts is not None:
+        shares = fitted.shares()
+        for k in range(fitted.topics):
+            # Ties in the order of the dictionary.
+            best = np.argsort(-shares[:, k], kind="stable")[:words]
+            rows.append((k + 1, ", ".join(fitted.terms[i] for i in best)))
+    return spark.createDataFrame(rows, "topic int, keywords string")
 
 
 def dominant(weights: Column) -> tuple[Column, Column]:

@@ -17,11 +17,14 @@ from postweave.operators.static_features import StaticFeature, static_features
 from postweave.plans.graph import page_tags
 from postweave.plans.prep import _POST_LABELS, label_boolean, post_folds
 from postweave.plans.registry import query
+from postweave.plans.text import NO_ABOVE, NO_BELOW, _TRAIN_SQL, _dictionary, _train
 from postweave.plans.views import INNER, LABELLED_SQL, SEED, labelled, posts, sample_sql, table, texts
 from postweave.session import scratch_path, stage
 from postweave.sources import store
 
 TOPICS = 5
+# Passes of the topic queries end when five of them gain less per word.
+TOPIC_GAIN = 0.05
 
 # -- matrix -----------------------------------------------------------------------
 
@@ -181,7 +184,7 @@ def topn_per_group(spark, sf):
 def _topic_model(spark, sf):
     rows = prepare_text(texts(spark, sf), "doc_id", ["text"])
     train = stage(rows.select("doc_id", "cleaned_text", "final_text"), "tokens")
-    return train, tp.fit_topics(train, TOPICS, 2, 0.5, iterations=20, seed=SEED)
+    return train, tp.fit_topics(train, TOPICS, 2, 0.5, seed=SEED, gain=TOPIC_GAIN)
 
 
 @query("topic_features")
@@ -195,14 +198,14 @@ def topic_features(spark, sf):
 def topic_keywords(spark, sf):
     _, fitted = _topic_model(spark, sf)
     path = scratch_path(spark, "keywords")
-    store.write_table(tp.topic_keywords(fitted), path)
+    store.write_table(tp.topic_keywords(spark, fitted), path)
     return spark.read.parquet(path)
 
 
 @query("topic_top_samples")
 def topic_top_samples(spark, sf):
     train, fitted = _topic_model(spark, sf)
-    placed = tp.dominant_topics(tp.infer_topics(train, fitted), tp.topic_keywords(fitted))
+    placed = tp.dominant_topics(tp.infer_topics(train, fitted), tp.topic_keywords(spark, fitted))
     path = scratch_path(spark, "dominant-topics")
     store.write_table(placed, path)
     stored = spark.read.parquet(path)
@@ -210,6 +213,67 @@ def topic_top_samples(spark, sf):
     return top.select("dominant_topic", "place", "doc_id", "contribution", "keywords", "cleaned_text")
 
 
+def _plain_model(spark, sf):
+    """A model of unstemmed words, whose dictionary SQL can state."""
+    train = _train(spark, sf)
+    return train, tp.fit_topics(train, TOPICS, NO_BELOW, NO_ABOVE, seed=SEED, gain=TOPIC_GAIN)
+
+
+@query(
+    "topic_term_totals",
+    f"WITH {_TRAIN_SQL} SELECT term, count(*) AS n, true AS in_topics FROM tok GROUP BY term",
+)
+def topic_term_totals(spark, sf):
+    """Every occurrence of a term lies in one of the topics."""
+    _, fitted = _plain_model(spark, sf)
+    return tp.topic_terms(fitted).groupBy("term").agg(
+        F.sum("n").alias("n"), F.bool_and(F.col("topic").between(1, TOPICS)).alias("in_topics")
+    )
+
+
+@query(
+    "topic_weight_totals",
+    f"""WITH {_TRAIN_SQL} SELECT doc_id, {TOPICS} AS topics,
+          CAST(doc_id IN (SELECT doc_id FROM tok) AS DOUBLE) AS total,
+          CASE WHEN doc_id IN (SELECT doc_id FROM tok) THEN {TOPICS} ELSE 0 END AS positive FROM words""",
+)
+def topic_weight_totals(spark, sf):
+    """Weights add up to 1, all above 0; to 0 in posts without a known term."""
+    train, fitted = _plain_model(spark, sf)
+    weights = F.col("topic_weights")
+    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
+    return tp.infer_topics(train, fitted).select(
+        "doc_id", F.size(weights).alias("topics"), F.round(total, 6).alias("total"),
+        F.size(F.filter(weights, lambda w: w > 0)).alias("positive"),
+    )
+
+
+@query(
+    "topic_keyword_terms",
+    f"""WITH {_TRAIN_SQL}, top AS (SELECT unnest(range(1, {TOPICS} + 1)) AS topic),
+          size AS (SELECT least(10, count(*)) AS words FROM dict)
+        SELECT topic, words, words AS known, true AS ordered FROM top, size""",
+)
+def topic_keyword_terms(spark, sf):
+    """The keywords of a topic are terms, in the order of their counts there."""
+    _, fitted = _plain_model(spark, sf)
+    named = tp.topic_keywords(spark, fitted)
+    each = named.select("topic", F.posexplode(F.split("keywords", ", ")).alias("place", "term"))
+    # At most ten rows per topic.
+    found = F.broadcast(each).join(tp.topic_terms(fitted), ["topic", "term"], "left")
+    known = F.broadcast(each).join(_dictionary(_train(spark, sf)), "term").groupBy("topic").agg(
+        F.count(F.lit(1)).alias("known")
+    )
+    ranked = found.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("words"),
+        F.sort_array(F.collect_list(F.struct("place", F.coalesce("n", F.lit(0)).alias("n")))).alias("p"),
+    )
+    falling = F.transform("p", lambda x: -x["n"])
+    return ranked.join(known, "topic").select(
+        "topic", "words", "known", (falling == F.array_sort(falling)).alias("ordered")
+    )
+
+
 # -- learners -------------------------------------------------------------------------
 
 
@@ -335,7 +399,7 @@ def fold_features_topics(spark, sf):
     prepared = stage(kind.prepare(texts(spark, sf), "doc_id", ["text"]), "tokens")
     params = {
         "no_below": 2, "no_above": 0.5, "LDA_topic_cutoff_threshold": 0.1,
-        "LDA_num_topics": TOPICS, "iterations": 10, "seed": SEED,
+        "LDA_num_topics": TOPICS, "seed": SEED, "gain": TOPIC_GAIN,
     }
     return fold_feature("lda", prepared, train_ids, valid_ids, "doc_id", params)
 

@@ -8,6 +8,7 @@ from postweave.operators import folds as fo
 from postweave.operators import matrix as mx
 from postweave.operators import regress as rg
 from postweave.operators import search as se
+from postweave.operators import gibbs
 from postweave.operators import topics as tp
 from postweave.operators.dynamic_features import FEATURE_TYPES, fold_feature
 from postweave.operators import dual
@@ -186,18 +187,72 @@ def test_topics(spark):
     df = spark.createDataFrame(
         [(i, d.split()) for i, d in enumerate(docs)], "id long, final_text array<string>"
     )
-    fitted = tp.fit_topics(df, 2, iterations=20, seed=5)
+    fitted = tp.fit_topics(df, 2, seed=5)
     rows = tp.infer_topics(df, fitted).select(
         "id", tp.clean_weights(F.col("topic_weights"), 0.1).alias("w")
     ).collect()
     assert all(sum(r.w) == pytest.approx(1) and len(r.w) == 2 for r in rows)
-    keywords = tp.topic_keywords(fitted, 3)
+    keywords = tp.topic_keywords(spark, fitted, 3)
     assert sorted(r.topic for r in keywords.collect()) == [1, 2]
     placed = tp.dominant_topics(tp.infer_topics(df, fitted), keywords)
     assert placed.count() == 40
     assert tp.top_per_group(placed, "dominant_topic", "contribution", "id", 3).count() <= 6
 
 
+def test_planted_topics_are_found_whatever_the_partitions(spark):
+    """Posts of two of three vocabularies: words of one share a topic, all draws repeat."""
+    rng = np.random.default_rng(0)
+    words = [[f"{g}{i}" for i in range(12)] for g in "abc"]
+    rows = []
+    for i in range(240):
+        lead, other = rng.permutation(3)[:2]
+        parts = [*rng.choice(words[lead], 16), *rng.choice(words[other], 4), "rare" + str(i)]
+        rows.append((i, [str(w) for w in parts]))
+    rows += [(300, None), (301, []), (302, [None, "unknown"])]
+    df = spark.createDataFrame(rows, "id long, final_text array<string>")
+    fitted = tp.fit_topics(df.repartition(3, "id"), 3, no_below=2, seed=3, gain=0.02)
+    assert len(fitted.terms) == 36 and fitted.counts.sum() == 240 * 20
+    best = {t: int(np.argmax(fitted.counts[i])) for i, t in enumerate(fitted.terms)}
+    groups = [{best[w] for w in g} for g in words]
+    assert [len(g) for g in groups] == [1, 1, 1] and len(set.union(*groups)) == 3
+    totals = {r.term: r.n for r in tp.topic_terms(fitted).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    assert totals == {t: sum(r[1].count(t) for r in rows if r[1]) for t in fitted.terms}
+    found = {r.id: r.topic_weights for r in tp.infer_topics(df, fitted).collect()}
+    assert all(found[i] == [0, 0, 0] for i in (300, 301, 302))
+    assert all(np.argmax(found[i]) == best[rows[i][1][0]] for i in range(240))
+    apart = {r.id: r.topic_weights for r in tp.infer_topics(df.repartition(7), fitted).collect()}
+    assert all(np.allclose(found[i], apart[i], atol=1e-9) for i in found)
+    again = tp.fit_topics(df.repartition(3, "id"), 3, no_below=2, seed=3, gain=0.02)
+    assert again.fits == pytest.approx(fitted.fits) and (again.counts == fitted.counts).all()
+
+
+def test_digamma_and_shares_of_one_post():
+    assert gibbs.digamma(np.array([1.0, 0.5, 1e-3, 40.0])) == pytest.approx(
+        [-0.5772156649, -1.9635100260, -1000.5755719318, 3.6763273737], rel=1e-8
+    )
+    rng = np.random.default_rng(2)
+    shares = rng.dirichlet(np.ones(30), 4).T
+    alpha = np.array([0.1, 0.5, 1.0, 0.2])
+    sizes = [3, 0, 30, 1]
+    term = np.concatenate([rng.choice(30, k, replace=False) for k in sizes])
+    n = rng.integers(1, 5, len(term))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    got = gibbs.post_shares(starts, term, n, shares, alpha)
+    for i, size in enumerate(sizes):
+        theta, at = np.full(4, 0.25), slice(starts[i], starts[i + 1])
+        for _ in range(5000 if size else 0):
+            p = theta * shares[term[at]]
+            theta = alpha + (p / p.sum(1, keepdims=True) * n[at][:, None]).sum(0)
+            theta /= theta.sum()
+        assert got[i] == pytest.approx(theta if size else np.zeros(4), abs=1e-4)
+
+
+def test_rule_that_ends_the_passes():
+    rising = [-9 + 0.01 * i for i in range(20)]
+    assert not gibbs.settled(rising[:9]) and not gibbs.settled(rising)
+    assert gibbs.settled(rising, gain=0.06) and gibbs.settled([*rising, *[-8.8] * 10])
+
+
 def test_topic_cleanup_edges(spark):
     df = spark.createDataFrame([([0.5, 0.3, 0.2],), ([0.1, 0.1, 0.1],)], "w array<double>")
     rows = [r.x for r in df.select(tp.clean_weights(F.col("w"), 0.2).alias("x")).collect()]
