@@ -3,7 +3,8 @@
 Candidate strings are scanned by windows of a width per character class. The
 entropy of a window comes from counts that change by one character in and one
 out; a candidate with a window at or above the class's threshold is a span from
-end to end. Strings on the allow list give no such span. Spans of the patterns
+end to end, unless that window reads as names: most neighbouring letters are pairs
+usual in words. Strings on the allow list give no such span. Spans of the patterns
 stay in any case.
 """
 
@@ -53,26 +54,55 @@ CLASSES = (
     CharClass("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.3),
     CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 3.3),
 )
-# Candidates that are no secrets: words of letters with joins, names in camel case
-# with a number at the end, words and short numbers with joins, numbers, UUIDs,
-# rules. Quantifiers give nothing back,
-# so a long string costs one pass.
+# Candidates that are no secrets: words of letters with joins, words and short numbers
+# with joins, numbers, UUIDs, rules. Quantifiers give nothing back, so a long string
+# costs one pass.
 ALLOWED = (
     re.compile(r"[a-z]++(?:[-_/=+][a-z]++)*+|[A-Z]++(?:[-_/=+][A-Z]++)*+"),
-    re.compile(r"[A-Z]?[a-z]{2,}+(?:[-_/=+]?(?:A?[A-Z][a-z]{2,}+|A[nst]|By|I[dfnst]|No|O[fnr]|To|Up)|[-_/=+][a-z]{2,}+)*+(?:[-_/=+]?[0-9]{1,4})?"),
     re.compile(r"(?:(?:[A-Z]++(?![a-z])|[A-Z]?[a-z]++|[0-9]{1,4}+)(?:[-_/=+]++|\Z))++"),
-    re.compile(r"[0-9]++(?:[-_/=+][0-9]++)*+"),
+    re.compile(r"[0-9]++(?:[-_/=+][0-9]++)*+(?:e[-+]?[0-9]++)?"),
     re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
     re.compile(r"[-+/_=]+"),
 )
 
+# The usual pairs of letters inside words.
+PAIRS = frozenset(
+    """ab ac ad af ag ai al am an ap ar as at au av ay ba be bi bl bo br bu ca ce ch ci ck cl
+    co cr ct cu da de di do du ea ec ed ee ef el em en ep er es et ev ew ex ey fa fe ff fi fl
+    fo fr fu ga ge gh gi gn go gr ha he hi ho ia ic id ie if ig il im in io ir is it iv ke ki
+    la ld le li ll lo ls lu ly ma me mi mo mp mu na nc nd ne nf ng ni no ns nt nu ob oc od of
+    oi ol om on oo op or os ot ou ov ow pa pe ph pi pl po pp pr pt pu qu ra rc rd re ri rm rn
+    ro rr rs rt ru ry sa sc se sh si so sp sq ss st su sy ta te th ti tl to tr ts tt tu ty ub ue
+    ui ul um un up ur us ut va ve vi wa we wi wo ye yp ys""".split()
+)
+# Share of a window's pairs from which it reads as names and not as a random string.
+NAME_SHARE = 0.6
+
+
+def _pair(a: str, b: str) -> tuple[int, int]:
+    """(usual, counted) for neighbours: joins, pairs of digits and the step from a small to
+    a capital letter do not count; a character, or the next one, after itself is usual."""
+    if not (a.isalnum() and b.isalnum()) or (a.isdigit() and b.isdigit()) or (a.islower() and b.isupper()):
+        return 0, 0
+    return int(0 <= ord(b) - ord(a) <= 1 or (a + b).lower() in PAIRS), 1
+
 
 @dataclass
 class Window:
-    """Counts of a sliding window and the sum of n log2 n over them."""
+    """Counts of a sliding window, the sum of n log2 n over them, and its pairs of letters."""
 
     counts: dict[str, int] = field(default_factory=dict)
     mass: float = 0.0
+    usual: int = 0
+    pairs: int = 0
+
+    def join(self, pair: tuple[int, int], by: int) -> None:
+        self.usual += by * pair[0]
+        self.pairs += by * pair[1]
+
+    def names(self) -> bool:
+        """Whether the window reads as names."""
+        return self.usual >= NAME_SHARE * self.pairs
 
     def add(self, char: str, by: int) -> None:
         n = self.counts.get(char, 0)
@@ -121,13 +151,20 @@ def _scored(text: str, classes, allowed) -> Iterator[tuple[int, str, CharClass]]
 
 
 def _windows(value: str, kind: CharClass) -> Iterator[tuple[int, int]]:
-    """(start, end) of the windows at or above the threshold of ``kind``."""
+    """(start, end) of the windows at or above the threshold of ``kind`` that do not read
+    as names."""
     window, width = Window(), min(kind.width, len(value))
+    pairs = [_pair(a, b) for a, b in zip(value, value[1:])]
     for i, char in enumerate(value):
         window.add(char, 1)
+        if i:
+            window.join(pairs[i - 1], 1)
         if i >= width:
             window.add(value[i - width], -1)
-        if i + 1 >= width and math.log2(width) - window.mass / width >= kind.bits - 1e-9:
+            window.join(pairs[i - width], -1)
+        if i + 1 < width or window.names():
+            continue
+        if math.log2(width) - window.mass / width >= kind.bits - 1e-9:
             yield i + 1 - width, i + 1
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -96,6 +97,49 @@ def test_random_keys_are_covered_whole(alphabet, lost, length):
     assert missed <= lost * 4000, missed / 4000
 
 
+def test_pairs_of_a_window_equal_a_recount():
+    rng = random.Random(5)
+    for _ in range(300):
+        value = "".join(rng.choices("thereinonAZq09_-", k=rng.randint(20, 60)))
+        kind = scan.CharClass("any", re.compile(".*"), 20, 2.0)
+        want = []
+        for i in range(len(value) - 19):
+            part = value[i : i + 20]
+            pairs = [scan._pair(a, b) for a, b in zip(part, part[1:])]
+            names = sum(u for u, _ in pairs) >= scan.NAME_SHARE * sum(c for _, c in pairs)
+            if windows_of(part, 20, 2.0) and not names:
+                want.append((i, i + 20))
+        assert list(scan._windows(value, kind)) == want
+
+
+@pytest.mark.parametrize("value", [
+    "_pending_bytes_count", "SimpleHTTPRequestHandler", "_UNIVERSAL_CONFIG_VARS", "/usr/local/lib/python3",
+    "org/apache/spark/sql/catalyst/SQLConf", "x86_64-unknown-linux-gnu-gcc12", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "eu/bitstream/10419/207829/1/10", "99832_20655_58879_37690e-1", "IMAP4_server_hostname",
+])
+def test_names_are_no_secrets(value):
+    assert scan.candidate_spans(f"see {value}.") == []
+
+
+def test_a_key_within_a_long_path_is_found():
+    key = "k8Xz2Lq9Vb4Nw7Rt1Ys5Pd3F"
+    text = f"/the/path/of/some/very/long/name/that/reads/as/words/{key}"
+    assert scan.candidate_spans(text) == [(0, len(text))]
+
+
+def test_few_strings_of_a_code_base_are_taken():
+    """Distinct candidates in the standard library's own modules: names of all styles."""
+    folder = os.path.dirname(os.__file__)
+    taken, names = set(), set()
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".py"):
+            with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+                text = f.read()
+            names |= {m.group() for m in scan.CANDIDATE.finditer(text)}
+            taken |= {text[a:b] for a, b in scan.candidate_spans(text)}
+    assert len(names) > 1000 and len(taken) <= 20, sorted(taken)
+
+
 @pytest.mark.parametrize("value", ["articles/2024/01/05/some-plain-title", "IMG_2024-01-05_Holiday-Photo"])
 def test_allowed_paths(value):
     assert scan.candidate_spans(value) == []
