@@ -13,7 +13,7 @@ from postweave.operators import topics as tp
 from postweave.operators.dynamic_features import FEATURE_TYPES, fold_feature
 from postweave.operators import dual
 from postweave.operators.learners import fit_classifier, kernel_of, predictions, prepare_training
-from postweave.operators.sparse_rows import Gram, Kernel, Rows, Shape, scaled_rows, shape_of
+from postweave.operators.sparse_rows import Gram, Kernel, Rows, Shape, scaled_rows, shape_of, stored_values
 
 
 def test_scaling(spark):
@@ -413,3 +413,10 @@ def test_one_class_and_no_rows(spark):
     assert {r.pred for r in predictions(fit_classifier(one, "id", {}, shape), rows, "id").collect()} == {True}
     none = fit_classifier(rows.filter("false"), "id", {}, shape)
     assert none.converged and {r.pred for r in none.predict(rows).collect()} == {None}
+
+
+def test_stored_values_are_as_long_as_the_post(spark):
+    rows = [(1, Vectors.sparse(100_000, [7, 99_999], [2.0, 1.0])), (2, Vectors.dense([0.0, 3.0])), (3, None)]
+    df = spark.createDataFrame(rows, ["id", "v"])
+    got = {r.id: r.x for r in df.select("id", stored_values("v").alias("x")).collect()}
+    assert got == {1: [2.0, 1.0], 2: [0.0, 3.0], 3: None}
