@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +6,7 @@ from postweave.functions import text as tx
 from postweave.functions.dates import epoch_to_timestamp, parse_date
 from postweave.functions.stem import stem_word, stems
 from postweave.operators import dictionary as dictionary_module
+from postweave.operators import in_row
 from postweave.operators import term_odds as odds_module
 from postweave.operators.dictionary import (
     build_dictionary,
@@ -181,3 +183,13 @@ def test_sums_in_the_row_equal_a_join(spark, monkeypatch):
     for module in (odds_module, dictionary_module):
         monkeypatch.setattr(module, "small", lambda table: None)
     assert found() == here
+
+
+def test_words_are_looked_up_in_portions(spark, monkeypatch):
+    """No more words at once than the bound, unless one post alone has more; same counts."""
+    lists = pa.array([["a"] * 4, None, ["b"] * 9, [], ["a", "b"], ["c"]])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), lists], names=["id", "w"])
+    monkeypatch.setattr(in_row, "WORDS_AT_ONCE", 5)
+    parts = list(in_row.portions(batch, 1))
+    assert len(parts) > 1 and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert max(len(p.column(1).flatten()) for p in parts if p.num_rows > 1) <= 10
