@@ -420,3 +420,16 @@ def test_stored_values_are_as_long_as_the_post(spark):
     df = spark.createDataFrame(rows, ["id", "v"])
     got = {r.id: r.x for r in df.select("id", stored_values("v").alias("x")).collect()}
     assert got == {1: [2.0, 1.0], 2: [0.0, 3.0], 3: None}
+
+
+def test_draws_one_by_one_and_as_counts_agree(monkeypatch):
+    """Every word gets a topic, and both ways of drawing have the same means."""
+    starts, term, n = np.array([0, 3, 4]), np.array([0, 1, 2, 1], "<i4"), np.array([4000, 3000, 1, 5000], "<i4")
+    shares, alpha = np.array([[0.7, 0.1], [0.2, 0.3], [0.1, 0.6]]), np.array([1.0, 2.0])
+    means = []
+    for few in (0, 10_000):
+        monkeypatch.setattr(gibbs, "FEW", few)
+        drawn = [gibbs.draw(np.random.default_rng(k), 0.0, starts, term, n, shares, alpha, 2) for k in range(40)]
+        assert all((t.sum(1) == [7001, 5000]).all() and (w.sum(1) == [4000, 8000, 1]).all() for t, w, _ in drawn)
+        means.append(np.mean([w[0, 0] for _, w, _ in drawn]))
+    assert means[0] == pytest.approx(means[1], rel=0.15)

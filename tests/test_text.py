@@ -193,3 +193,13 @@ def test_words_are_looked_up_in_portions(spark, monkeypatch):
     parts = list(in_row.portions(batch, 1))
     assert len(parts) > 1 and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
     assert max(len(p.column(1).flatten()) for p in parts if p.num_rows > 1) <= 10
+
+
+def test_cleaning_skips_only_texts_without_a_match(spark):
+    texts = ["plain", None, "", "a@b c", "x http://u y", "#tag @me", "two  blanks\tand http", "@", "me@ #http"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.col("t")
+    for pattern, text in REPLACEMENTS:
+        whole = F.regexp_replace(whole, F.lit(pattern), F.lit(text))
+    found = df.select(tx.clean(F.col("t"), REPLACEMENTS).alias("a"), whole.alias("b")).collect()
+    assert [r.a for r in found] == [r.b for r in found]
