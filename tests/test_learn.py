@@ -415,6 +415,25 @@ def test_one_class_and_no_rows(spark):
     assert none.converged and {r.pred for r in none.predict(rows).collect()} == {None}
 
 
+def test_a_narrow_linear_problem_needs_no_rounds_of_pairs(spark, monkeypatch):
+    """Overlapping classes in many blocks: Newton steps alone meet all conditions."""
+    monkeypatch.setattr(dual, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(dual, "_solved", lambda *_: pytest.fail("a working set was solved"))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 3)) * [3, 1, 1]
+    label = x @ [0.3, 1, 0] + 2 * rng.normal(size=6000) > 0.3
+    df = spark.createDataFrame([(i, bool(y), v.tolist()) for i, (v, y) in enumerate(zip(x, label))], "id long, label boolean, x array<double>")
+    rows, shape = _sparse(df.select("id", "label", array_to_vector("x").alias("features")), 3)
+    training = prepare_training(rows, "id", shape)
+    assert training.n_blocks > 3
+    found = dual.solve(training.blocks, training.parts, training.n_blocks, kernel_of({}, shape), 0, 1, 1.0)
+    assert found.converged and found.breach <= dual.TOLERANCE and 0 <= found.gap <= 1e-3 * found.primal
+    state = [(np.frombuffer(r.y), np.frombuffer(r.alpha)) for r in found.state.collect()]
+    y, alpha = (np.concatenate(v) for v in zip(*state))
+    assert abs(y @ alpha) < 1e-8 * len(y) and alpha.min() >= 0 and alpha.max() <= 1
+    training.release()
+
+
 def test_stored_values_are_as_long_as_the_post(spark):
     rows = [(1, Vectors.sparse(100_000, [7, 99_999], [2.0, 1.0])), (2, Vectors.dense([0.0, 3.0])), (3, None)]
     df = spark.createDataFrame(rows, ["id", "v"])
