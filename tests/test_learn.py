@@ -11,7 +11,7 @@ from postweave.operators import search as se
 from postweave.operators import gibbs
 from postweave.operators import topics as tp
 from postweave.operators.dynamic_features import FEATURE_TYPES, fold_feature
-from postweave.operators import dual
+from postweave.operators import dual, learners
 from postweave.operators.learners import fit_classifier, kernel_of, predictions, prepare_training
 from postweave.operators.sparse_rows import Gram, Kernel, Rows, Shape, scaled_rows, shape_of, stored_values
 
@@ -452,3 +452,57 @@ def test_draws_one_by_one_and_as_counts_agree(monkeypatch):
         assert all((t.sum(1) == [7001, 5000]).all() and (w.sum(1) == [4000, 8000, 1]).all() for t, w, _ in drawn)
         means.append(np.mean([w[0, 0] for _, w, _ in drawn]))
     assert means[0] == pytest.approx(means[1], rel=0.15)
+
+
+@pytest.mark.parametrize("params", [{"kernel": "rbf", "gamma": 0.3}, {"kernel": "poly", "gamma": 0.5, "coef0": 2.0, "degree": 3.0}])
+def test_a_mapped_kernel_is_solved_by_steps_on_all_rows(spark, monkeypatch, params):
+    """Noise in many blocks: one or two working sets are left, the dual value is exact."""
+    monkeypatch.setattr(dual, "BLOCK_ROWS", 100)
+    sets, solved = [], dual._solved
+    monkeypatch.setattr(dual, "_solved", lambda *a: sets.append(1) or solved(*a))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 2))
+    label = (x**2).sum(1) + rng.normal(size=900) > 1.6
+    df = spark.createDataFrame([(i, bool(y), v.tolist()) for i, (v, y) in enumerate(zip(x, label))], "id long, label boolean, x array<double>")
+    rows, shape = _sparse(df.select("id", "label", array_to_vector("x").alias("features")), 2)
+    model = fit_classifier(rows, "id", params, shape)
+    assert model.converged and len(sets) <= 3
+    kernel, y = kernel_of(params, shape), np.where(label, 1.0, -1.0)
+    values = _dense_kernel(kernel, x, x)
+    assert model.models[0].dual == pytest.approx(_plain_dual(values, y, 1.0), rel=2e-3)
+    training = prepare_training(rows, "id", shape)
+    mapped = dual.exact_map(training.blocks, kernel, 900, 1.0)
+    numbers = mapped.numbers(mapped.base(x))
+    assert mapped.width < 200 and np.abs(numbers @ numbers.T - values).max() <= max(1e-8, 1e-13 * values.max())
+    training.release()
+
+
+@pytest.mark.parametrize("most", [1024, 3])
+@pytest.mark.parametrize("name", ["rbf", "sigmoid"])
+def test_support_vectors_do_not_pass_the_driver(spark, monkeypatch, name, most):
+    """With or without a map of the kernel, outputs equal the sum over the vectors, and a
+    row is scored once."""
+    from postweave.operators import maps
+
+    monkeypatch.setattr(maps, "MOST", most)
+    monkeypatch.setattr(dual, "CHUNK", 7)
+    rng = np.random.default_rng(9)
+    x, v, weight = rng.normal(size=(50, 2)), rng.normal(size=(40, 2)), rng.normal(size=40)
+    kernel = Kernel(name, 0.5, 0.2, 1.0, Shape(2, np.array([0.1, 0.0])))
+    frame = lambda a, **more: spark.createDataFrame([(*[float(m[i]) for m in more.values()], [0, 1], r.tolist()) for i, r in enumerate(a)], ", ".join([*[f"{m} double" for m in more], "columns array<int>, values array<double>"]))
+    x[7] = 30.0
+    vectors, rows = frame(v, weight=weight).repartition(3), frame(x, id=np.arange(50)).repartition(4)
+    # One row is like none of the vectors.
+    training = prepare_training(frame(v, id=np.arange(40)).withColumn("label", F.col("id") > 20), "id", kernel.shape)
+    mapped = dual.exact_map(training.blocks, kernel, 50, 1.0)
+    assert (mapped is None) == (name == "sigmoid" or most == 3)
+    outputs = dual.outputs_of(vectors, kernel, mapped, checked=True)
+    assert (outputs is None) == (mapped is None)
+    model = learners.PairClassifier(["a", "b"], [learners.PairModel(0, 1, 0.25, outputs, vectors, 40, 0.0, 0.0, 0, True)], kernel)
+    found = {int(r.id): r.scores[0] for r in model.scores(rows).collect()}
+    want = _dense_kernel(kernel, x - kernel.shape.shift, v - kernel.shape.shift) @ weight + 0.25
+    assert len(found) == 50 == model.scores(rows).count() and [found[i] for i in range(50)] == pytest.approx(want.tolist())
+    if mapped is not None:
+        six = learners.PairClassifier(list("abcd"), [learners.PairModel(0, 1, 0.25, outputs, None, 40, 0.0, 0.0, 0, True)] * 6, kernel)
+        assert six.scores(rows)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    training.release()
