@@ -506,3 +506,14 @@ def test_support_vectors_do_not_pass_the_driver(spark, monkeypatch, name, most):
         six = learners.PairClassifier(list("abcd"), [learners.PairModel(0, 1, 0.25, outputs, None, 40, 0.0, 0.0, 0, True)] * 6, kernel)
         assert six.scores(rows)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     training.release()
+
+
+def test_texts_of_the_keyword_query_are_prepared_once(spark, monkeypatch):
+    from postweave.plans import learn
+
+    calls = []
+    words = spark.createDataFrame([(i, i % 2 == 0, ["a", "b", "c"][i % 3:] + ["d"]) for i in range(60)], "doc_id long, label boolean, final_text array<string>")
+    monkeypatch.setattr(learn, "_train", lambda *_: calls.append(1) or words)
+    rows = learn.topic_keyword_terms(spark, "").collect()
+    assert len(calls) == 1 and {r.topic for r in rows} == set(range(1, learn.TOPICS + 1))
+    assert all(r.words == r.known for r in rows)
