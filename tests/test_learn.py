@@ -517,3 +517,15 @@ def test_texts_of_the_keyword_query_are_prepared_once(spark, monkeypatch):
     rows = learn.topic_keyword_terms(spark, "").collect()
     assert len(calls) == 1 and {r.topic for r in rows} == set(range(1, learn.TOPICS + 1))
     assert all(r.words == r.known for r in rows)
+
+
+def test_separable_rows_take_few_steps_per_hinge(spark, monkeypatch):
+    monkeypatch.setattr(dual, "BLOCK_ROWS", 1000)
+    passes, sums = [], dual.rounded_sums
+    monkeypatch.setattr(dual, "rounded_sums", lambda *a: passes.append(a[2]) or sums(*a))
+    place = F.array(F.lit(0).cast("int"), F.lit(1).cast("int"))
+    values = F.array((F.col("id") % 2) * 2.2 - 0.7, F.lit(0.3))
+    rows = spark.range(4000).select("id", (F.col("id") % 2 == 0).alias("label"), place.alias("columns"), values.alias("values"))
+    model = fit_classifier(rows, "id", {"kernel": "rbf", "gamma": 0.5}, Shape(2, np.zeros(2)))
+    assert model.converged and all(passes.count(bend) <= 27 for bend in passes if bend > 1e-3)
+    assert predictions(model, rows, "id").filter(F.col("pred") != F.col("true")).count() == 0
