@@ -529,3 +529,24 @@ def test_separable_rows_take_few_steps_per_hinge(spark, monkeypatch):
     model = fit_classifier(rows, "id", {"kernel": "rbf", "gamma": 0.5}, Shape(2, np.zeros(2)))
     assert model.converged and all(passes.count(bend) <= 27 for bend in passes if bend > 1e-3)
     assert predictions(model, rows, "id").filter(F.col("pred") != F.col("true")).count() == 0
+
+
+def test_blocks_of_a_task_share_one_row_of_sums(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 3}", "all"]) for i in range(90)], "id long, final_text array<string>")
+    terms = sorted({f"w{k}" for k in range(7)} | {"all"})
+    state = gibbs.blocks(df.coalesce(1), terms, "final_text").collect()
+    some = spark.createDataFrame([(k, *state[0][1:]) for k in range(5)], gibbs.STATE).coalesce(1)
+    after = gibbs.one_pass(some, np.full((8, 3), 1 / 8), np.ones(3), 1, 0).collect()
+    assert sorted(r.mark for r in after) == list(range(5))
+    assert [len(r.cells) > 0 for r in after] == [False] * 4 + [True]
+    assert sum(v for c, v in zip(after[-1].cells, after[-1].sums) if c >= 0) == 5 * 270
+
+
+def test_weights_are_inferred_without_the_other_columns(spark):
+    rows = [(i, "a long text", [f"w{i % 4}", f"w{i % 2}"]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, text string, final_text array<string>")
+    fitted = tp.fit_topics(df, 2, seed=1, iterations=3)
+    whole, alone = tp.infer_topics(df, fitted), tp.infer_topics(df, fitted, keep=["id"])
+    assert whole.columns == [*df.columns, "topic_weights"] and alone.columns == ["id", "topic_weights"]
+    assert {r.id: r.topic_weights for r in whole.collect()} == {r.id: r.topic_weights for r in alone.collect()}
+    assert tp.infer_topics(df, tp.TopicModel([], 2), keep=["id"]).columns == ["id", "topic_weights"]
