@@ -434,6 +434,40 @@ def test_a_narrow_linear_problem_needs_no_rounds_of_pairs(spark, monkeypatch):
     training.release()
 
 
+@pytest.mark.parametrize("name", ["linear", "rbf"])
+def test_equal_rows_are_solved_as_one(spark, monkeypatch, name):
+    """Rows of few flags are one block whatever their number; a copy counts as a row."""
+    monkeypatch.setattr(dual, "BLOCK_ROWS", 200)
+    flags = [(k, [float(k & 1), float(k >> 1 & 1), float(k >> 2)]) for k in np.random.default_rng(3).integers(0, 8, 900).tolist()]
+    label = [(k * 7 + i) % 11 > 5 for i, (k, _) in enumerate(flags)]
+    df = spark.createDataFrame([(i, bool(y), v) for i, ((_, v), y) in enumerate(zip(flags, label))], "id long, label boolean, x array<double>")
+    rows, shape = _sparse(df.select("id", "label", array_to_vector("x").alias("features")), 3)
+    training = prepare_training(rows, "id", shape)
+    assert training.n_blocks == 1 and training.sizes == [label.count(False), label.count(True)]
+    kernel = kernel_of({"kernel": name, "gamma": 0.5}, shape)
+    found = dual.solve(training.blocks, training.parts, training.n_blocks, kernel, 0, 1, 2.0)
+    x, y = np.array([v for _, v in flags]), np.where(label, 1.0, -1.0)
+    assert found.converged and found.dual == pytest.approx(_plain_dual(_dense_kernel(kernel, x, x), y, 2.0), rel=2e-3)
+    training.release()
+
+
+@pytest.mark.parametrize("params", [{"kernel": "linear"}, {"kernel": "rbf", "gamma": 0.3}, {"kernel": "sigmoid", "gamma": 0.1}])
+def test_copies_count_in_many_blocks(spark, monkeypatch, params):
+    monkeypatch.setattr(dual, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(6)
+    x, times = rng.normal(size=(240, 2)), rng.integers(1, 4, 240)
+    x, label = np.repeat(x, times, 0), np.repeat(x @ [1, 0.5] + rng.normal(size=240) > 0.2, times)
+    df = spark.createDataFrame([(i, bool(y), v.tolist()) for i, (v, y) in enumerate(zip(x, label))], "id long, label boolean, x array<double>")
+    rows, shape = _sparse(df.select("id", "label", array_to_vector("x").alias("features")), 2)
+    training = prepare_training(rows, "id", shape)
+    assert training.n_blocks >= 4 and sum(training.sizes) == len(x)
+    assert training.stored.select(F.explode("copies")).groupBy().sum().first()[0] == len(x)
+    model = fit_classifier(rows, "id", params, shape).models[0]
+    values = _dense_kernel(kernel_of(params, shape), x, x)
+    assert model.converged and model.dual == pytest.approx(_plain_dual(values, np.where(label, 1.0, -1.0), 1.0), rel=2e-3)
+    training.release()
+
+
 def test_stored_values_are_as_long_as_the_post(spark):
     rows = [(1, Vectors.sparse(100_000, [7, 99_999], [2.0, 1.0])), (2, Vectors.dense([0.0, 3.0])), (3, None)]
     df = spark.createDataFrame(rows, ["id", "v"])
