@@ -468,6 +468,37 @@ def test_copies_count_in_many_blocks(spark, monkeypatch, params):
     training.release()
 
 
+def test_folds_are_searched_at_once(spark, monkeypatch):
+    """Two folds wait for each other: one after another would never meet."""
+    from threading import Barrier
+
+    meeting, fit = Barrier(2), se.fit_cells
+
+    def both(*args, **more):
+        meeting.wait(timeout=60)
+        return fit(*args, **more)
+
+    monkeypatch.setattr(se, "fit_cells", both)
+    rows = [(i, i % 2 == 0, float(i % 2), [0, 1][i % 4 > 1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label boolean, x double, inner_fold int").withColumn("outer_fold", F.lit(0))
+    found = se.parameter_search(df.drop("x"), df.select("id", "x"), df.select("id", "label"), "id", [{"kernel": "linear", "cv": cv} for cv in (0, 1)])
+    assert {(r.cv, r.n) for r in found.filter(F.col("pred") == F.col("true")).groupBy("cv").agg(F.count("*").alias("n")).collect()} == {("0", 20), ("1", 20)}
+
+
+def test_only_texts_in_folds_are_prepared(spark, tmp_path, monkeypatch):
+    from postweave.plans import learn
+
+    docs = [(i, "aaa bbb ccc"[: 3 + 4 * (i % 3)], "en", "web", 11) for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, kind = [], type(FEATURE_TYPES["terms"])
+    prepare = kind.prepare
+    monkeypatch.setattr(kind, "prepare", lambda self, df, *a: seen.append(df) or prepare(self, df, *a))
+    folds, _, features = learn._learning_tables(spark, str(tmp_path), [0, 1])
+    assert seen[0].count() == folds.select("doc_id").distinct().count() == 60
+    assert [features[cv].count() for cv in (0, 1)] == [folds.filter("inner_fold IS NOT NULL").count()] * 2
+
+
 def test_stored_values_are_as_long_as_the_post(spark):
     rows = [(1, Vectors.sparse(100_000, [7, 99_999], [2.0, 1.0])), (2, Vectors.dense([0.0, 3.0])), (3, None)]
     df = spark.createDataFrame(rows, ["id", "v"])
